@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Iterator
 from math import ceil
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +111,36 @@ def scan_block(docs: DataFrame, items: list[tuple], window: int, more: bool) ->
     return map_batches(docs, scan, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document: doc_id, n_words, hits (word ranges, ends included), spans (code points, end excluded), items (sorted ids)."""
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[list[tuple]]:
+    """The items as (id, text), in blocks of bounded size; one empty block if there are none."""
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].alias("text")).where(F.col("text").isNotNull())
     blocks = max(1, ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    out = two_columns(docs, id_col, text_col)
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        out = scan_block(out, [(r.item, r.text) for r in part.toLocalIterator()], window, b < blocks - 1)
-        if b < blocks - 1:
-            out = cut(out, "contamination")
-    return out
+        yield [(r.item, r.text) for r in part.toLocalIterator()]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document: doc_id, n_words, hits (word ranges, ends included), spans (code points, end excluded), items (sorted ids)."""
+    out, blocks = two_columns(docs, id_col, text_col), list(item_blocks(benchmark, item_col, item_text_col, block_chars))
+    for items in blocks[:-1]:
+        out = cut(scan_block(out, items, window, True), "contamination")
+    return scan_block(out, blocks[-1], window, False)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, in whose text no pattern occurs."""
+
+    def clean_of(items: list[tuple]):
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            symbols, machine = built(key, sent.value, window)
+            return pd.Series([not symbols or next(machine.iter("".join([symbols.get(w, OTHER) for w in words_of(t)])), None) is None for t in texts], dtype=bool)
+
+        return clean
+
+    for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
+        docs = docs.where(clean_of(items)(docs[text_col]))
+    return docs

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import decontaminate, exact_dedup, packing, secret_scan
+from gaugewright.llm import decontaminate, exact_dedup, language_id, license_scan, ngram_join, packing, quality, secret_scan, substring_dedup, toxicity
+from gaugewright.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +21,74 @@ def hex_sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = language_id.identify(docs, language_id.fit(docs))
+    return named.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM doc, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+twoway AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, y FROM reach JOIN twoway ON other = x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN size USING (doc_id)
+"""
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.round("containment", 6).alias("containment"), "first_word")
+
+
+def _templates_sql() -> str:
+    rows = ", ".join("('{}', '{}', {})".format(name, t.replace("'", "''"), next(c for c in license_scan.CLASSES if len(license_scan.words_of(t)) <= c)) for name, t in license_scan.TEMPLATES.items())
+    words = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    return f"""
+WITH template AS (SELECT license, step, {words.format("notice")} AS w FROM (VALUES {rows}) AS t(license, notice, step)),
+wanted AS (SELECT DISTINCT license, step, array_to_string(w[i:i + 2], ' ') AS s FROM template, unnest(generate_series(1, len(w) - 2)) AS t(i)),
+size AS (SELECT license, count(*) AS n FROM wanted GROUP BY license),
+doc AS (SELECT doc_id, {words.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+have AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + 2], ' ') AS s FROM doc, unnest(generate_series(1, len(w) - 2)) AS t(i)),
+near AS (SELECT doc_id, place, s, step, unnest([place // step - 1, place // step]) AS win FROM have JOIN (SELECT DISTINCT step, s FROM wanted) USING (s)),
+opened AS (SELECT doc_id, step, win, min(place) AS first_word FROM near GROUP BY ALL),
+share AS (SELECT doc_id, near.step, win, license, count(DISTINCT s) / min(n) AS c FROM near JOIN wanted USING (step, s) JOIN size USING (license) GROUP BY ALL)
+SELECT doc_id, license, round(max(c), 6) AS containment, CAST(min(first_word) AS BIGINT) AS first_word
+FROM share JOIN opened USING (doc_id, step, win) WHERE c >= 0.8 GROUP BY doc_id, license
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), hex_sha256(F.col("kept")).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM doc, unnest(generate_series(1, len(w) - 19)) AS t(i)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM late, unnest(generate_series(i, i + 19)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept, count(*) AS n
+         FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM doc) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -38,6 +102,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], hex_sha256(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.classify(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -81,9 +157,9 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN owner USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_packing, op6_secret_scan, op9_exact_dedup, op10_decontamination]
+    found = [op1_language_id, op2_ngram_join, op3_license_scan, op4_packing, op5_substring_dedup, op6_secret_scan, op7_toxicity, op8_quality, op9_exact_dedup, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_license_scan": _templates_sql(), "op5_substring_dedup": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
