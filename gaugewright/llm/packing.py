@@ -22,17 +22,23 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gaugewright.llm.common import map_batches, two_columns
+from gaugewright.llm.common import arrow_schema, two_columns
 
 SEQUENCE, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_PIECES = 8192
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 
-_tokenizers: dict[str, tuple] = {}
+#: Marks that may follow a word in a run; the tokenizer always parts them from letters.
+TAIL = ".,;:!?|"
+WORD_END = "</w>"
+
+_encoders: dict[str, Encoder] = {}
 
 
 def vocabulary_path() -> str:
@@ -41,31 +47,121 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str):
-    """texts -> ids of each as little-endian unsigned 32-bit bytes.
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be printed, else one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*printed}))}
 
-    The tokenizer drops white space and never joins across it, so the runs between spaces and line
-    ends are encoded one by one and remembered; any other white space stays inside a run.
-    """
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
+class Encoder:
+    """Ids of whole texts, with those of the runs between spaces and line ends remembered.
 
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({r for x in runs for r in x if r not in known})
-        for at in range(0, len(new), 100_000):
-            some = new[at : at + 100_000]
-            for r, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[r] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[r] for r in x]) for x in runs]
+    The tokenizer drops white space and never joins across it, so runs can be encoded one by one; any
+    other white space stays inside a run. Most runs are a word of Latin letters with marks behind:
+    such words go to the model itself, many at once, in lower case and as byte letters, which is what
+    the tokenizer's normaliser and splitter make of them. All other runs go to the whole tokenizer.
+    """
 
-    return encode
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in byte_letters().items() if b != 10}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}  # run -> its place in start and count
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.count, self.runs = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
+
+    def add(self, run: str, ids: np.ndarray) -> None:
+        n, at, used = len(ids), self.runs, self.used
+        if used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + n, np.uint32)])
+        if at == len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        self.ids[used : used + n] = ids
+        self.start[at], self.count[at] = used, n
+        self.known[run] = at
+        self.runs, self.used = at + 1, used + n
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of lower-case Latin words."""
+        said = "\n".join(words).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([said], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words):
+            return self.others(words)
+        return np.split(ids, at[:-1])
+
+    def others(self, runs: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def learn(self, runs: list[str]) -> None:
+        split, other, words = [], [], {}
+        for run in runs:
+            core = run.rstrip(TAIL)
+            low = core.lower()
+            if low.isalpha() and max(low) < "\u0250":
+                split.append((run, low, run[len(core) :]))
+                if low not in self.known:
+                    words[low] = None
+            else:
+                other.append(run)
+        if words:
+            for word, ids in zip(words, self.words(list(words)), strict=True):
+                self.add(word, ids)
+        tails = list({t for _, _, t in split if t not in self.known})
+        for run, ids in zip(tails + other, self.others(tails + other), strict=True):
+            self.add(run, ids)
+        for run, low, tail in split:
+            if run not in self.known:
+                w, t = self.known[low], self.known[tail]
+                if not tail:
+                    self.known[run] = w
+                    continue
+                n, m, a, b = self.count[w], self.count[t], self.start[w], self.start[t]
+                self.add(run, np.concatenate([self.ids[a : a + n], self.ids[b : b + m]]))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.known) > CACHED_WORDS:
+            self.forget()
+        runs = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = runs.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [r for r in names if r not in self.known]
+        if new:
+            self.learn(new)
+        known = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        each = coded.indices.to_numpy()
+        start, count = self.start[known][each], self.count[known][each]
+        ends = np.cumsum(count)
+        flat = self.ids[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.r_[0, ends][runs.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder that this worker keeps for its next tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes, one text at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
 
 
 def assign(lengths: list[int], size: int = SEQUENCE, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
@@ -98,45 +194,42 @@ def assign(lengths: list[int], size: int = SEQUENCE, linear: float = LINEAR, qua
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, block: int = BLOCK_PIECES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     rows = two_columns(docs, id_col, text_col)
-    path, end = tokenizer or vocabulary_path(), np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    path, end = tokenizer or vocabulary_path(), np.array([end_id], np.uint32)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    types = arrow_schema(schema)
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encode, first = encoder(path), (TaskContext.get().partitionId() << 33)
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, first = encoder(path), TaskContext.get().partitionId() << 33
         rests: list[tuple] = []  # doc_id, start, ids, doc_tokens
 
         def packed() -> list[tuple]:
             nonlocal first
             done, filled = [], {}
-            for piece, start, length, s in assign([len(r[2]) // 4 for r in rests], size, linear, quadratic):
+            for piece, start, length, s in assign([len(r[2]) for r in rests], size, linear, quadratic):
                 doc, begin, ids, total = rests[piece]
-                done.append((doc, begin + start, length, ids[4 * start : 4 * (start + length)], total, first + s, filled.get(s, 0)))
+                done.append((doc, begin + start, length, ids[start : start + length].tobytes(), total, first + s, filled.get(s, 0)))
                 filled[s] = filled.get(s, 0) + length
             first += len(filled)
             rests.clear()
             return done
 
-        def columns(done: list[tuple]) -> dict:
-            return {n: [x[i] for x in done] for i, n in enumerate(names)}
+        def columns(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], f.type) for i, f in enumerate(types)], schema=types)
 
-        for batch in batches:
-            full: list[tuple] = []
-            for at in range(0, len(batch["text"]), 500):
-                for doc, ids in zip(batch["doc_id"][at : at + 500], encode(batch["text"][at : at + 500]), strict=True):
-                    ids += end
-                    total, start = len(ids) // 4, 0
+        for batch in stream:
+            for at, to in slices(batch.column(1)):
+                full: list[tuple] = []
+                for doc, ids in zip(batch.column(0)[at:to].to_pylist(), encode(batch.column(1)[at:to]), strict=True):
+                    ids = np.append(ids, end)
+                    total, start = len(ids), 0
                     while total - start >= size:
-                        full.append((doc, start, size, ids[4 * start : 4 * (start + size)], total, first, 0))
+                        full.append((doc, start, size, ids[start : start + size].tobytes(), total, first, 0))
                         start, first = start + size, first + 1
                     if start < total:
-                        rests.append((doc, start, ids[4 * start :], total))
+                        rests.append((doc, start, ids[start:].copy(), total))
                         if len(rests) >= block:
                             full += packed()
-                if len(full) > 2000:
-                    yield columns(full)
-                    full = []
-            yield columns(full)
+                yield columns(full)
         yield columns(packed())
 
-    return map_batches(rows, run, schema)
+    return rows.mapInArrow(run, schema)
