@@ -1,0 +1,299 @@
+"""Quality checks as data: a row check is a tri-state Column, an aggregate check a pair of sums.
+
+All checks of all dimensions are evaluated in one aggregation per group (see score.py). NULL means not
+applicable. Checks that need the row before (T1, T3) take it as a column made once on the base table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from gaugewright.functions.exprs import between_or_any, clip, col, floor_to, implies, micros, number, ratio, row_all, seconds_between, snap
+
+
+@dataclass(frozen=True)
+class Check:
+    """kind "row": ok is a boolean or NULL for each row; kind "sum": passed and total are aggregate columns."""
+
+    name: str
+    dimension: str
+    kind: str
+    ok: Column | None = None
+    passed: Column | None = None
+    total: Column | None = None
+
+
+def row(name: str, dimension: str, ok: Column) -> Check:
+    return Check(name, dimension, "row", ok=ok)
+
+
+def aggregate(name: str, dimension: str, passed: Column, total: Column) -> Check:
+    return Check(name, dimension, "sum", passed=passed, total=total)
+
+
+# timeliness
+
+
+def with_previous(df: DataFrame, entity: str, ts: str, out: str = "prev_ts", arrival: str | None = None) -> DataFrame:
+    """The entity's time one row before, by time or by arrival order."""
+    before = F.lag(col(ts)).over(Window.partitionBy(col(entity)).orderBy(col(arrival or ts)))
+    return df.withColumn(out, F.when(col(entity).isNotNull(), before))
+
+
+def interarrival(ts: str, cadence: float, resolution: float, prev: str = "prev_ts", window_start: str | None = None) -> Column:
+    """T1: the gap to the row before is the cadence, within the resolution. In a window its first row has none."""
+    inside = F.lit(True) if window_start is None else col(prev) >= col(window_start)
+    return F.when(inside & col(prev).isNotNull(), F.abs(seconds_between(col(ts), col(prev)) - cadence) <= resolution)
+
+
+def monotonic(ts: str, prev: str = "prev_arrived") -> Column:
+    """T3: time doesn't go back in the order of arrival."""
+    return F.when(col(prev).isNotNull() & col(ts).isNotNull(), col(ts) >= col(prev))
+
+
+def grid_alignment(df: DataFrame, keys: Sequence[str], ts: str, cadence: float, resolution: float) -> DataFrame:
+    """T2 for each group: expected, aligned and missing slots of the grid anchored at the cadence before its first time.
+
+    Distinct times are taken once; a slot counts when a time lies within min(resolution, a tenth of the cadence) of it.
+    """
+    times = df.select(*[col(k) for k in keys], micros(col(ts)).alias("_us")).where(F.col("_us").isNotNull()).distinct()
+    step = int(cadence * 1e6)
+    ends = times.groupBy(*keys).agg(F.min("_us").alias("_low"), F.max("_us").alias("_high"))
+    ends = ends.withColumn("_anchor", F.col("_low") - F.pmod("_low", F.lit(step)))
+    joined = times.join(ends, list(keys)) if keys else times.crossJoin(F.broadcast(ends))  # a single row
+    k = snap(F.col("_us"), F.col("_anchor"), cadence)
+    slots = F.floor((F.col("_high") - F.col("_anchor")) / step) + 1
+    slack = min(resolution, 0.1 * cadence) * 1e6
+    ok = (F.abs(F.col("_us") - (F.col("_anchor") + k * step)) <= slack) & (k < slots)
+    out = joined.select(*keys, slots.alias("expected_slots"), F.when(ok, k).alias("_k")).groupBy(*keys, "expected_slots").agg(F.countDistinct("_k").alias("aligned_slots"))
+    return out.withColumn("missing_slots", F.greatest(F.col("expected_slots") - F.col("aligned_slots"), F.lit(0)))
+
+
+# completeness
+
+
+def mandatory(fields: Sequence[str]) -> Column:
+    """C1: every mandatory field is there."""
+    ok = F.lit(True)
+    for f in fields:
+        ok = ok & col(f).isNotNull()
+    return ok
+
+
+def field_completeness(fields: Sequence[str]) -> Check:
+    """C4: values that are there, of all cells of the fields."""
+    filled = sum((F.count(col(f)) for f in fields), F.lit(0))
+    return aggregate("C4", "completeness", filled, F.lit(len(fields)) * F.count(F.lit(1)))
+
+
+def entity_presence(df: DataFrame, keys: Sequence[str], ts: str, entity: str, expected_by_hour: Mapping[int, float], default: float, arrival: str | None = None) -> DataFrame:
+    """C2 for each group: mean distinct entities a time against the hour's expected number, both cut to whole ones.
+
+    The hour is that of the first row by arrival (time, where there is no arrival order).
+    """
+    first = df.where(col(ts).isNotNull()).groupBy(*keys).agg(F.hour(F.min_by(col(ts), col(arrival or ts))).alias("_hour"))
+    mean = df.where(col(ts).isNotNull()).groupBy(*keys, col(ts)).agg(F.countDistinct(col(entity)).alias("_n")).groupBy(*keys).agg(F.avg("_n").alias("mean_entities"))
+    table = F.array(*[F.lit(float(int(expected_by_hour.get(h, default)))) for h in range(24)])
+    out = mean.join(first, list(keys)) if keys else mean.crossJoin(F.broadcast(first))
+    expected = F.get(table, F.col("_hour"))
+    return out.select(*keys, "mean_entities", F.floor(F.least("mean_entities", expected)).cast("long").alias("passed"), expected.cast("long").alias("total"))
+
+
+def time_continuity(ts: str, cadence: float) -> Check:
+    """C3: distinct times of those that the span holds at the cadence. An empty group is (0, 1)."""
+    us, n = micros(col(ts)), F.countDistinct(col(ts))
+    apart = (F.max(us) - F.min(us)) / 1e6
+    total = F.when(F.coalesce(apart, F.lit(0.0)) == 0, F.greatest(n, F.lit(1))).otherwise(F.greatest(F.rint(apart / cadence) + 1, F.lit(1.0)))
+    return aggregate("C3", "completeness", n, total.cast("long"))
+
+
+# validity
+
+
+def parsable(fields: Sequence[str]) -> Column:
+    """V1: what is there is a number."""
+    return row_all([F.when(col(f).isNotNull(), col(f).try_cast("double").isNotNull()) for f in fields])
+
+
+def padded(name: str, low: float, high: float, cadence: float = 60.0, resolution: float = 1.0) -> tuple[float, float]:
+    """V2p: bounds widened by kind of field: whole units and one for counts, the cadence for intervals, 1 % else."""
+    import math
+
+    if "Prb" in name or "Conn" in name:
+        return math.floor(low) - 1, math.ceil(high) + 1
+    if name.endswith("_interval"):
+        return low - max(1.0, resolution), high + max(1.0, resolution)
+    if "Thp" in name:
+        pad = max(0.001, 0.01 * (high - low))
+        return low - pad, high + pad
+    pad = 0.01 * (high - low)
+    return low - pad, high + pad
+
+
+def ranges(fallback: Mapping[str, tuple[float | None, float | None]], learned: Mapping[str, tuple[float, float]] | None = None, source: str = "fallback") -> Column:
+    """V2: each field within its bounds. source "learned" takes learned bounds where there are some, padded."""
+    bounds = dict(fallback)
+    if source == "learned":
+        bounds |= {f: padded(f, *b) for f, b in (learned or {}).items()}
+    return row_all([between_or_any(number(col(f)), low, high) for f, (low, high) in bounds.items()])
+
+
+def used_within_available(pairs: Sequence[tuple[str, str]], slack: float = 1e-6) -> Column:
+    """V3: neither is negative, and used is at most what is available."""
+    out = []
+    for used, available in pairs:
+        u, a = number(col(used)), number(col(available))
+        out += [F.when(u.isNotNull(), u >= 0), F.when(a.isNotNull(), a >= 0), F.when(u.isNotNull() & a.isNotNull(), u <= a * (1 + slack))]
+    return row_all(out)
+
+
+def rule_slack(available: Column, decimals: int, learned: float | None = None, cap: float = 3.0) -> Column:
+    """V4s: half a printed unit of the percentage in absolute terms, whole and between 1 and the cap; the learned one if it is larger."""
+    own = clip(F.ceil(0.5 * 10**-decimals / 100 * available).cast("double"), 1.0, cap)
+    least = min(max(learned, 0.0), cap) if learned is not None else None
+    return F.coalesce(F.greatest(own, F.lit(least)) if least is not None else own, F.lit(1.0))
+
+
+def business_rules(used: str, total: str, available: str, percent: str | None, slack: Column) -> Column:
+    """V4: total within available, used within total (both with slack), none used of none, percentage in 0..100."""
+    u, t, a = number(col(used)), number(col(total)), number(col(available))
+    rules = [
+        F.when(t.isNotNull() & a.isNotNull(), t <= (a + slack) * (1 + 1e-6)),
+        F.when(u.isNotNull() & t.isNotNull(), u <= (t + slack) * (1 + 1e-6)),
+        implies((a == 0) & u.isNotNull(), u == 0),
+    ]
+    if percent:
+        rules.append(between_or_any(number(col(percent)), 0, 100))
+    return row_all(rules)
+
+
+def percent_identity(total: str, available: str, percent: str, decimals: int) -> Column:
+    """V5: the percentage is what total and available make, to half its last printed digit."""
+    t, a, p = number(col(total)), number(col(available)), number(col(percent))
+    apart = F.abs(clip(ratio(t, a) * 100, 0.0, 100.0) - clip(p, 0.0, 100.0))
+    return F.when((a > 0) & t.isNotNull() & p.isNotNull(), apart <= 0.5 * 10**-decimals + 1e-9)
+
+
+# consistency
+
+
+def mean_within_max(mean: str, most: str) -> Column:
+    """CS1 (1): a NULL on either side fails."""
+    return F.coalesce(number(col(mean)) <= number(col(most)), F.lit(False))
+
+
+def idle_means_silent(connections: str, rates: Sequence[str], floor: float) -> Column:
+    """CS1 (2): without connections no rate is above the floor."""
+    quiet = F.lit(True)
+    for r in rates:
+        quiet = quiet & (F.abs(number(col(r))) <= floor)
+    return implies(number(col(connections)) == 0, F.coalesce(quiet, F.lit(False)))
+
+
+def traffic_needs_resources(pairs: Sequence[tuple[str, str]], floor: float) -> Column:
+    """CS1 (3): a rate above the floor on some side needs resources on some side."""
+    busy, used = F.lit(False), F.lit(False)
+    for rate, resource in pairs:
+        busy = busy | F.coalesce(number(col(rate)) > floor, F.lit(False))
+        used = used | F.coalesce(number(col(resource)) > 0, F.lit(False))
+    return implies(busy, used)
+
+
+def sum_ratio(numerator: Column, denominator: Column, band: tuple[float, float] | None, always: tuple[float, float] = (0.5, 2.0), usable: Column | None = None) -> Check:
+    """CS2: the ratio of two sums over usable rows is in the learned band or in the wide one."""
+    ok = usable if usable is not None else F.lit(True)
+    r = ratio(F.sum(F.when(ok, numerator)), F.sum(F.when(ok, denominator)))
+    inside = r.between(*always)
+    if band:
+        inside = inside | r.between(*band)
+    return aggregate("CS2", "consistency", F.when(inside, 1).otherwise(0), F.when(r.isNotNull(), 1).otherwise(0))
+
+
+def reconcile(master: DataFrame, detail: DataFrame, keys: Sequence[str], tick: str, measure: str) -> DataFrame:
+    """detail / master of the sums of each tick that both have; each side is summed before the join."""
+    by = [*keys, tick]
+    m = master.groupBy(*by).agg(F.coalesce(F.sum(number(col(measure))), F.lit(0.0)).alias("_m"))
+    d = detail.groupBy(*by).agg(F.coalesce(F.sum(number(col(measure))), F.lit(0.0)).alias("_d"))
+    return m.where("_m > 0").join(d, by).select(*by, ratio(F.col("_d"), F.col("_m")).alias("ratio"))
+
+
+def reconciled(ratios: DataFrame, keys: Sequence[str], band: tuple[float, float], least: int = 5) -> DataFrame:
+    """CS3 for each group of `least` ticks or more: the median is in the widened band, or half of the ratios in the band."""
+    low, high = band
+    wide = 1.5 * (high - low)
+    r = F.col("ratio")
+    out = ratios.groupBy(*keys).agg(F.count(r).alias("ticks"), F.percentile(r, 0.5).alias("median"), F.avg(r.between(low, high).cast("double")).alias("inside"))
+    ok = F.col("median").between(low - wide, high + wide) | (F.col("inside") >= 0.5)
+    enough = F.col("ticks") >= least
+    return out.select("*", F.when(enough & ok, 1).otherwise(0).alias("passed"), F.when(enough, 1).otherwise(0).alias("total"))
+
+
+# accuracy
+
+
+def efficiency_band(rate: str, resource: str, band: tuple[float, float], scale: float = 1000.0, least: int = 10) -> Check:
+    """A1: the median of rate * scale / resource is in the band; no total with fewer than `least` samples."""
+    x = F.when(number(col(resource)) > 0, ratio(number(col(rate)) * scale, number(col(resource))))
+    enough = F.count(x) >= least
+    return aggregate("A1", "accuracy", F.when(enough & F.percentile(x, 0.5).between(*band), 1).otherwise(0), F.when(enough, 1).otherwise(0))
+
+
+def cap(rate: str, available: str, most: float, scale: float = 1e9, unit: float = 180e3) -> Column:
+    """A2: rate * scale / (available * unit) is at most the cap."""
+    return ratio(number(col(rate)) * scale, number(col(available)) * unit) <= most
+
+
+def rate_needs_resource(rate: str, resource: str, floor: float = 0.002) -> Column:
+    """A3: a rate above the floor needs a resource; not applicable where either is missing."""
+    r, u = number(col(rate)), number(col(resource))
+    return F.when(r.isNotNull() & u.isNotNull(), (r <= floor) | (u > 0))
+
+
+@dataclass(frozen=True)
+class Dimension:
+    """A named list of checks. Inactive checks are left out of coverage where drop_inactive holds."""
+
+    name: str
+    checks: Sequence[Check] = field(default_factory=tuple)
+    drop_inactive: bool = False
+
+
+def telecom_dimensions(baseline: Mapping, prev: str = "prev_ts", cadence: float = 60.0, resolution: float = 60.0) -> list[Dimension]:
+    """The row checks and sums of the five dimensions over cell reports with the usual column names."""
+    sides = ("Dl", "Ul")
+    decimals = baseline.get("prb_pct_decimals", {})
+    slack = {s: rule_slack(number(col(f"RRU.PrbAvail{s}")), int(decimals.get(f"RRU.PrbTot{s}", 1)), (baseline.get("prb_rule_slack_prb", {}).get("used_le_tot", {})).get(s.lower())) for s in sides}
+    p99 = baseline.get("accuracy_spectral_eff", {})
+    bands = baseline.get("accuracy_thp_per_prb_band", {})
+    floor = float(baseline.get("throughput_floor", 0.001))
+    energy = baseline.get("energy_power_band", {})
+    band = (energy["ratio_q1"], energy["ratio_q3"]) if energy.get("n", 0) == 0 and "ratio_q1" in energy or energy.get("n", 0) >= 30 else None
+    usable = ~F.coalesce(col("PEE.Energy_interval_reset"), F.lit(False)) & ~F.coalesce(col("PEE.Energy_interval_imputed"), F.lit(False))
+    return [
+        Dimension("timeliness", [row("T1", "timeliness", interarrival("timestamp", cadence, resolution, prev))]),
+        Dimension("completeness", [row("C1", "completeness", mandatory(["timestamp", "Viavi.Cell.Name"])), time_continuity("timestamp", cadence)]),
+        Dimension("validity", [
+            *[row(f"V3_{s.lower()}", "validity", used_within_available([(f"RRU.PrbUsed{s}", f"RRU.PrbAvail{s}")])) for s in sides],
+            *[row(f"V4_{s.lower()}", "validity", business_rules(f"RRU.PrbUsed{s}", f"RRU.PrbTot{s}_abs", f"RRU.PrbAvail{s}", f"RRU.PrbTot{s}", slack[s])) for s in sides],
+            *[row(f"V5_{s.lower()}", "validity", percent_identity(f"RRU.PrbTot{s}_abs", f"RRU.PrbAvail{s}", f"RRU.PrbTot{s}", int(decimals.get(f"RRU.PrbTot{s}", 1)))) for s in sides],
+        ], True),
+        Dimension("consistency", [
+            row("CS1_1", "consistency", mean_within_max("RRC.ConnMean", "RRC.ConnMax")),
+            row("CS1_2", "consistency", idle_means_silent("RRC.ConnMean", [f"DRB.UEThp{s}" for s in sides], floor)),
+            row("CS1_3", "consistency", traffic_needs_resources([(f"DRB.UEThp{s}", f"RRU.PrbUsed{s}") for s in sides], floor)),
+            sum_ratio(number(col("PEE.Energy_interval")), number(col("PEE.Energy_interval_expected")), band, usable=usable),
+        ], True),
+        Dimension("accuracy", [
+            *[row(f"A2_{s.lower()}", "accuracy", cap(f"DRB.UEThp{s}", f"RRU.PrbAvail{s}", min(30.0, 1.2 * p99.get(f"{s.lower()}_p99", 25.0)))) for s in sides],
+            *[row(f"A3_{s.lower()}", "accuracy", rate_needs_resource(f"DRB.UEThp{s}", f"RRU.PrbUsed{s}")) for s in sides],
+            *[efficiency_band(f"DRB.UEThp{s}", f"RRU.PrbUsed{s}", (bands[s.lower()]["q25"], bands[s.lower()]["q75"])) for s in sides if s.lower() in bands],
+        ]),
+    ]
+
+
+def expected_ticks(start: Column, end: Column, cadence: float) -> Column:
+    return F.floor((micros(end) - floor_to(start, cadence)) / F.lit(cadence * 1e6)) + 1
