@@ -50,6 +50,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def corr(x: Column, y: Column) -> Column:
+    """Pearson correlation of complete pairs; NULL where a side has no spread (Spark's own raises there under ANSI)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def clip(x: Column, low: float | Column, high: float | Column) -> Column:
     """Between low and high; NULL stays NULL."""
     bound = lambda b: b if isinstance(b, Column) else F.lit(b)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.exprs import col, js_divergence, ratio
+from gaugewright.functions.exprs import col, corr, js_divergence, ratio
 from gaugewright.operators.pca import fit as fit_pca
 from gaugewright.operators.train import regression_metrics
 
@@ -34,7 +34,7 @@ def min_max(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def agreement(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """MAE, RMSE, R2 and correlation."""
-    return df.agg(*regression_metrics(col(label), col(prediction)), F.corr(col(label), col(prediction)).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    return df.agg(*regression_metrics(col(label), col(prediction)), corr(col(label), col(prediction)).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
 def naive_baselines(df: DataFrame, label: str) -> DataFrame:
@@ -69,7 +69,7 @@ def ablation(scores: DataFrame, dimensions: Sequence[str], base: str = "label")
     for left_out in (None, *dimensions):
         used = [d for d in dimensions if d != left_out]
         model = fit_pca(full, used)
-        got = model.transform(full, "_other").agg(F.avg(F.abs(F.col("_other") - F.col(base))).alias("mae_from_full"), F.corr("_other", F.col(base)).alias("correlation"))
+        got = model.transform(full, "_other").agg(F.avg(F.abs(F.col("_other") - F.col(base))).alias("mae_from_full"), corr(F.col("_other"), F.col(base)).alias("correlation"))
         got = got.select(F.lit(left_out or "none").alias("left_out"), F.lit(model.explained).alias("explained"), "*")
         rows = got if rows is None else rows.unionByName(got)
     return rows.orderBy("mae_from_full")

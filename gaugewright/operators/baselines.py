@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.exprs import col, decimals, micros, number, ratio, seconds_between
+from gaugewright.functions.exprs import col, corr, decimals, micros, number, ratio, seconds_between
 
 
 def band(x: Column, least: int = 0) -> list[Column]:
@@ -73,15 +73,14 @@ def correlation(df: DataFrame, x: str, y: str, least: int = 11) -> DataFrame:
     """AGG-18: Pearson correlation of complete pairs, of `least` or more."""
     a, b = number(col(x)), number(col(y))
     n = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
-    return df.agg(F.when(n >= least, F.corr(a, b)).alias("r"), n.alias("n"))
+    return df.agg(F.when(n >= least, corr(a, b)).alias("r"), n.alias("n"))
 
 
 def correlation_band(df: DataFrame, x: str, y: str, entity: str, least: int = 30) -> DataFrame:
     """AGG-21: Pearson r per entity of `least` pairs or more, then its quartiles."""
     a, b = number(col(x)), number(col(y))
     n = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
-    spread = F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-    return df.groupBy(col(entity)).agg(F.when(n >= least, spread).alias("r")).agg(*band(F.col("r")))
+    return df.groupBy(col(entity)).agg(F.when(n >= least, corr(a, b)).alias("r")).agg(*band(F.col("r")))
 
 
 def hourly_template(df: DataFrame, ts: str, entity: str, default_median: float, default_iqr: float) -> DataFrame:

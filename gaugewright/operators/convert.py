@@ -34,8 +34,8 @@ def cumulative_to_interval(df: DataFrame, counter: str, entity: str, ts: str, ca
     df = df.withColumn("_delta", delta).withColumn("_hours", hours)
     df = df.withColumn(f"{prefix}_reset", F.coalesce(F.col("_delta") < 0, F.lit(False))).withColumn(prefix, F.when(F.col("_delta") >= 0, F.col("_delta")))
     if power and power in df.columns:
-        df = df.withColumn(f"{prefix}_expected", number(col(power)) / 1000 * F.col("_hours")).withColumn(f"{prefix}_imputed", F.col(prefix).isNull())
-        df = df.withColumn(prefix, F.coalesce(prefix, f"{prefix}_expected"))
+        df = df.withColumn(f"{prefix}_expected", number(col(power)) / 1000 * F.col("_hours")).withColumn(f"{prefix}_imputed", col(prefix).isNull())
+        df = df.withColumn(prefix, F.coalesce(col(prefix), col(f"{prefix}_expected")))
     return df.drop("_delta", "_hours")
 
 

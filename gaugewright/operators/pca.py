@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.exprs import clip, col, half_even, number
+from gaugewright.functions.exprs import clip, col, corr, half_even, number
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,6 @@ def fit(df: DataFrame, columns: Sequence[str]) -> Consolidator:
     values, vectors = np.linalg.eigh(cov)
     model = Consolidator(tuple(k[0] for k in kept), tuple(k[1] for k in kept), tuple(k[2] for k in kept), tuple(map(float, vectors[:, -1])), 0.0, 1.0, float(values[-1] / values.sum()))
     mean_score = sum((F.coalesce(col(c), F.lit(m)) for c, m, _ in kept), F.lit(0.0)) / n
-    got = complete.select(model.component([k[0] for k in kept]).alias("p"), (1 - mean_score).alias("bad")).agg(F.corr("p", "bad").alias("r"), F.avg("p").alias("mu"), F.stddev_pop("p").alias("sd")).first()
+    got = complete.select(model.component([k[0] for k in kept]).alias("p"), (1 - mean_score).alias("bad")).agg(corr(F.col("p"), F.col("bad")).alias("r"), F.avg("p").alias("mu"), F.stddev_pop("p").alias("sd")).first()
     sign = -1.0 if got.r is not None and got.r < 0 else 1.0
     return replace(model, pc1=tuple(sign * v for v in model.pc1), mu=sign * got.mu, sd=got.sd or 1.0)

@@ -88,7 +88,7 @@ def artifact(spark: SparkSession, path: str):
 
 def latest_artifact(root: str, pattern: str = "*.json") -> str | None:
     """The artifact with the latest version stamp in its name (name order, so the same on every machine)."""
-    found = sorted(Path(root).glob(pattern), key=lambda p: p.stem.rsplit("_v", 1)[-1])
+    found = sorted((p for p in Path(root).glob(pattern) if not p.name.endswith(".metadata.json")), key=lambda p: p.stem.rsplit("_v", 1)[-1])
     return str(found[-1]) if found else None
 
 
