@@ -50,12 +50,12 @@ def two_columns(docs: DataFrame, id_col: str = DOC_ID, text_col: str = TEXT) ->
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists, in and out."""
+def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, arrays: bool = False) -> DataFrame:
+    """mapInArrow with columns as Python lists (numeric ones without NULLs as numpy arrays if `arrays`), in and out."""
     names, types = df.columns, arrow_schema(schema)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in function({c: b.column(i).to_pylist() for i, c in enumerate(names)} for b in stream):
+        for out in function({c: b.column(i).to_numpy(zero_copy_only=False) if arrays else b.column(i).to_pylist() for i, c in enumerate(names)} for b in stream):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
 
     return df.mapInArrow(batches, schema)

@@ -7,10 +7,13 @@
    those shingles. Buckets never count too little, so a shingle's group is known to be at most its
    bucket's count; shingles of high counts are salted.
 3. Groups of up to SMALL classes give their pairs, less those that the lengths and the places of the
-   shingle rule out. In larger groups all members are compared with one, the pivot. Members that link
+   shingle rule out. In larger groups all members are compared with one, the pivot: the member with the
+   smallest share of rarer shingles, which of edited copies is the one that the others come from. Members that link
    with it are one component. Jaccard distance is a metric, so others can link with those only if
    their similarities to the pivot differ by 1 - t at most; these pairs are compared, and the others
-   form the group of the next round. After ROUNDS rounds the rest gives its pairs.
+   form the group of the next round. After ROUNDS rounds the rest gives its pairs. Pairs in groups of
+   either kind are left out where the places of the shingle rule them out: if it is the first that they
+   share, what follows it is all they can share; if it isn't, they meet in the group of the first.
 4. Pairs are verified by probe: the ordered sets of a probe's candidates form a trie, which is walked
    once; sets that share a path share its overlap, and a subtree ends where the overlap so far and the
    lengths that remain can't reach the threshold. Texts are fetched once per class that has candidates.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.llm.common import cut, drop_cut, map_batches, two_columns
 from gaugewright.llm.components import components
-from gaugewright.llm.words import Runs, WordHashes, split
+from gaugewright.llm.words import Runs, hashed
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, SLICE, MERGERS = 20, 4096, 64
@@ -44,15 +47,15 @@ SMALL, ROUNDS = 8, 4
 SEEN_CLASSES, TRIE = 500_000, 512
 
 
-def shingle_set(text: str | None, known: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = [w.lower() for w in split(text)]
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = Runs(known.of(words))
-    if len(words) < size:
-        return runs(np.array([0]), np.array([len(words)])) + np.uint64(len(words))
-    return np.unique(runs.every(size))
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    for words in hashed(texts, lower=True):
+        if not len(words):
+            yield words
+        elif len(words) < size:
+            yield Runs(words)(np.array([0]), np.array([len(words)])) + np.uint64(len(words))
+        else:
+            yield np.unique(Runs(words).every(size))
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -72,10 +75,10 @@ def classify(rows: DataFrame, size: int, bits: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known, counts = WordHashes(), np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for b in batches:
             for at in range(0, len(b["text"]), 1000):
-                sets = [shingle_set(t, known, size) for t in b["text"][at : at + 1000]]
+                sets = list(shingle_sets(b["text"][at : at + 1000], size))
                 counts += np.bincount((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
                 k = len(sets)
                 yield {"doc_id": b["doc_id"][at : at + 1000], "class": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "slice": [None] * k, "counts": [None] * k}
@@ -110,12 +113,11 @@ def prefixes(rows: DataFrame, sent, limit: int, size: int, percent: int) -> Data
     """(token, salt, class, n, place) for the prefix of each class that a partition has; salt is -1 for groups known to be within the limit."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known, counts, seen = WordHashes(), sent.value, set()
+        counts, seen = sent.value, set()
         for b in batches:
             for at in range(0, len(b["text"]), 1000):
                 tokens, classes, sizes, places = [], [], [], []
-                for text in b["text"][at : at + 1000]:
-                    s = shingle_set(text, known, size)
+                for s in shingle_sets(b["text"][at : at + 1000], size):
                     if len(s) and (c := class_of(s)) not in seen:
                         if len(seen) >= SEEN_CLASSES:
                             seen.clear()
@@ -134,7 +136,7 @@ def prefixes(rows: DataFrame, sent, limit: int, size: int, percent: int) -> Data
     return map_batches(rows.select("text"), run, "token long, salt int, class long, n long, place int")
 
 
-CANDIDATES = "big boolean, token long, a long, n long, b long, m long"
+CANDIDATES = "big boolean, token long, a long, n long, b long, m long, place int"
 
 
 def candidates(dealt: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +172,11 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
             nothing = [None] * len(rows)
             return {
                 "big": [True] * len(rows) + [False] * len(made), "token": cols[0][rows].tolist() + [None] * len(made), "a": cols[2][rows].tolist() + [p[0] for p in made],
-                "n": cols[3][rows].tolist() + [p[1] for p in made], "b": nothing + [p[2] for p in made], "m": nothing + [p[3] for p in made],
+                "n": cols[3][rows].tolist() + [p[1] for p in made], "b": nothing + [p[2] for p in made], "m": nothing + [p[3] for p in made], "place": cols[4][rows].tolist() + [None] * len(made),
             }, rest
 
         for b in batches:
-            cols = [np.array(b[c], np.int64) for c in names]
+            cols = [b[c].astype(np.int64) for c in names]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if len(cols[0]):
@@ -183,7 +185,7 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield groups(held, True)[0]
 
-    return map_batches(dealt, run, CANDIDATES)
+    return map_batches(dealt, run, CANDIDATES, arrays=True)
 
 
 class Probe:
@@ -229,13 +231,13 @@ def verify(pairs: DataFrame, texts: DataFrame, sent, size: int, percent: int) ->
     full = pairs.join(of_b, "b").join(of_a, "a").select("a", "n", "b", "m", "text_a", "text_b").sortWithinPartitions("a")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known, counts, sets = WordHashes(), sent.value, {}
+        counts, sets = sent.value, {}
 
         def fetch(c: int, text: str) -> np.ndarray:
             if c not in sets:
                 if len(sets) > 4096:
                     sets.clear()
-                sets[c] = ordered(shingle_set(text, known, size), counts)
+                sets[c] = ordered(next(shingle_sets([text], size)), counts)
             return sets[c]
 
         for b in batches:
@@ -266,6 +268,12 @@ def fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def reachable(n: str, place: str, m: str, other: str, percent: int) -> Column:
+    """Whether sets of n and m shingles can reach the percentage if their first common shingle is at these places."""
+    most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
+    return most * 100 >= (F.col(n) + F.col(m) - most) * percent
+
+
 def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
     """(a, b): links between classes that have the same components as all links."""
     spark = docs.sparkSession
@@ -274,24 +282,28 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
     dealt = prefixes(docs, sent, limit, size, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
     found = cut(candidates(dealt, percent), "candidates")
     pairs = found.where("not big").select("a", "n", "b", "m").distinct()
-    big = found.where("big").select("token", F.col("a").alias("c"), "n").distinct()
+    big = found.where("big").select("token", F.col("a").alias("c"), "n", "place").distinct()
 
     involved = found.select(F.col("a").alias("class")).unionByName(found.where("not big").select(F.col("b").alias("class"))).distinct()
     owners = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("owner")).join(involved, "class").where("owner is not null")
-    checked = F.udf(lambda t: class_of(shingle_set(t, WordHashes(), size)), "long")
     joined = docs.join(owners, docs["doc_id"] == owners["owner"]).select("class", "text")
-    texts = cut(joined.where(checked("text") == F.col("class")).dropDuplicates(["class"]), "texts")
 
+    def own(batches: Iterator[dict]) -> Iterator[dict]:  # rows that share an id may have other texts
+        for b in batches:
+            ok = [class_of(s) == c for s, c in zip(shingle_sets(b["text"], size), b["class"], strict=True)]
+            yield {"class": [c for c, k in zip(b["class"], ok, strict=True) if k], "text": [t for t, k in zip(b["text"], ok, strict=True) if k]}
+
+    texts = cut(map_batches(joined, own, "class long, text string"), "texts")
     reached = similarity() >= percent / 100
     links = [cut(verify(pairs, texts, sent, size, percent).select("a", "b"), "links")]
     least = 2 * percent - 100  # below this a member is too far from the pivot to link with any that links with it
     for r in range(ROUNDS + 1):
-        sizes = big.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("c", "n")).alias("pivot")).where("members > 1")
-        group = cut(big.join(sizes, "token").select("token", "c", "n", "members", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("q")), "groups")
+        sizes = big.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct((F.col("place") / F.col("n")).alias("share"), "c", "n")).alias("pivot")).where("members > 1")
+        group = cut(big.join(sizes, "token").select("token", "c", "n", "place", "members", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("q")), "groups")
         last = r == ROUNDS
-        few = group.where(F.lit(last) | (F.col("members") <= SMALL)).select("token", "c", "n")
-        other = few.select("token", F.col("c").alias("b"), F.col("n").alias("m"))
-        each = few.withColumnRenamed("c", "a").join(other, "token").where(F.col("a") < F.col("b")).where(fits("n", "m", percent)).select("a", "n", "b", "m").distinct()
+        few = group.where(F.lit(last) | (F.col("members") <= SMALL)).select("token", "c", "n", "place")
+        other = few.select("token", F.col("c").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
+        each = few.withColumnRenamed("c", "a").join(other, "token").where(F.col("a") < F.col("b")).where(fits("n", "m", percent) & reachable("n", "place", "m", "other", percent)).select("a", "n", "b", "m").distinct()
         links.append(cut(verify(each, texts, sent, size, percent).select("a", "b"), "links"))
         many = group.where(F.col("members") > SMALL)
         if last or many.isEmpty():
@@ -300,14 +312,14 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
         near = cut(verify(star, texts, sent, size, least).withColumn("s", similarity()).withColumn("linked", F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent), "stars")
         links.append(near.where("linked").select("a", "b"))
         state = many.join(near.select(F.col("a").alias("p"), F.col("b").alias("c"), "s", "linked"), ["p", "c"], "left")
-        state = cut(state.select("token", "c", "n", F.when(F.col("c") == F.col("p"), 1.0).otherwise(F.col("s")).alias("s"), ((F.col("c") == F.col("p")) | F.coalesce("linked", F.lit(False))).alias("linked")), "states")
-        inside = state.where("linked").select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-        outside = state.where(~F.col("linked") & F.col("s").isNotNull()).select("token", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
-        cross = inside.join(outside, "token").where((F.col("sx") - F.col("sy") <= 1 - percent / 100 + 1e-9) & fits("nx", "ny", percent))
+        state = cut(state.select("token", "c", "n", "place", F.when(F.col("c") == F.col("p"), 1.0).otherwise(F.col("s")).alias("s"), ((F.col("c") == F.col("p")) | F.coalesce("linked", F.lit(False))).alias("linked")), "states")
+        inside = state.where("linked").select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("s").alias("sx"))
+        outside = state.where(~F.col("linked") & F.col("s").isNotNull()).select("token", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("s").alias("sy"))
+        cross = inside.join(outside, "token").where((F.col("sx") - F.col("sy") <= 1 - percent / 100 + 1e-9) & fits("nx", "ny", percent) & reachable("nx", "px", "ny", "py", percent))
         forth = F.col("x") < F.col("y")
         cross = cross.select(F.when(forth, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(forth, F.col("nx")).otherwise(F.col("ny")).alias("n"), F.when(forth, F.col("y")).otherwise(F.col("x")).alias("b"), F.when(forth, F.col("ny")).otherwise(F.col("nx")).alias("m")).distinct()
         links.append(cut(verify(cross, texts, sent, size, percent).select("a", "b"), "links"))
-        big = state.where(~F.col("linked")).select("token", "c", "n")
+        big = state.where(~F.col("linked")).select("token", "c", "n", "place")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)

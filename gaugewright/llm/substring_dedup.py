@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.llm.common import cut, map_batches, two_columns
-from gaugewright.llm.words import BASES, Runs, WordHashes, split
+from gaugewright.llm.words import BASES, Runs, hashed, split
 
 WINDOW, SEED = 20, 8
 
@@ -63,12 +63,10 @@ def find_anchors(rows: DataFrame, window: int, seed: int, extend: bool) -> DataF
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known = WordHashes()
         for b in batches:
             for start in range(0, len(b["text"]), 1000):
                 ids, counts, parts = b["doc_id"][start : start + 1000], [], {"seed": [], "at": [], "extension": []}
-                for text in b["text"][start : start + 1000]:
-                    hashes = known.of(split(text))
+                for hashes in hashed(b["text"][start : start + 1000]):
                     a = Anchors(hashes, window, seed)
                     counts.append(len(a.at))
                     parts["seed"].append(a.seeds.view(np.int64))
@@ -85,12 +83,11 @@ def find_windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known = WordHashes()
         for b in batches:
             ids, counts, parts = [], [], []
-            for doc, text, mixed in zip(b["doc_id"], b["text"], b["mixed"], strict=True):
+            marked = [x for x in zip(b["doc_id"], b["text"], b["mixed"], strict=True) if x[2]]
+            for (doc, _, mixed), hashes in zip(marked, hashed([x[1] for x in marked]), strict=True):
                 if mixed:
-                    hashes = known.of(split(text))
                     a = Anchors(hashes, window, seed)
                     some = np.isin(a.at, mixed)
                     starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(a.low[some], a.high[some], strict=True)])
@@ -131,7 +128,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     full = texts.join(earliest, texts["doc_id"].eqNullSafe(earliest["owner"]), "left").select("doc_id", "text", "mixed", "whole", "earliest")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known = WordHashes()
         for b in batches:
             for at in range(0, len(b["text"]), 1000):
                 ids, out = b["doc_id"][at : at + 1000], {"n_words": [], "removed": [], "kept": []}
@@ -139,7 +135,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     words = split(text)
                     gone = np.zeros(len(words), bool)
                     if mixed or whole:
-                        a = Anchors(known.of(words), window, seed)
+                        a = Anchors(next(hashed([text])), window, seed)
                         some = np.isin(a.at, whole or [])
                         gone |= cover(len(words), a.low[some], a.high[some], window)
                         if mixed:

@@ -1,26 +1,18 @@
-"""64-bit hashes of words and of runs of words, in numpy."""
+"""64-bit hashes of words and of runs of words, in numpy, for many texts at once."""
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
-
-#: Odd multipliers, so that they have inverses modulo 2^64; two of them make hashes that don't depend on one another.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-KNOWN_WORDS = 400_000
-
-
-class WordHashes(dict):
-    """word -> hash, remembered."""
+from collections.abc import Iterator
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+import numpy as np
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Odd multipliers, so that they have inverses modulo 2^64; different ones make hashes that don't depend on one another.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+BYTES = np.arange(1, 257).astype(np.uint64)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)]).astype(np.uint64) + np.uint64(1)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes of text that are hashed together.
+BLOCK = 1 << 20
 
 
 def split(text: str | None) -> list[bytes]:
@@ -36,28 +28,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of any run of consecutive words, from one pass over their hashes."""
+    """Hashes of any run of consecutive numbers, from one pass over them: sums of number * base^place, moved to place 0."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, hashes: np.ndarray, base: int = BASES[0]):
-        up, self.down = self.powers(base, len(hashes) + 1)
-        self.sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
+    def __init__(self, numbers: np.ndarray, base: int = BASES[0]):
+        up, self.down = self.powers(base, len(numbers) + 1)
+        self.sums = np.zeros(len(numbers) + 1, np.uint64)
+        np.cumsum(numbers * up[: len(numbers)], out=self.sums[1:])
 
     @classmethod
     def powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         """base^i and base^-i modulo 2^64."""
         if base not in cls._powers or len(cls._powers[base][0]) < n:
-            size = max(4096, 2 * n)
+            size = max(1 << 12, n + n // 4)
             cls._powers[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b % (1 << 64), np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
         return cls._powers[base]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each run of words from start up to but not including end."""
+        """Hash of each run from start up to but not including end."""
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
     def every(self, size: int) -> np.ndarray:
-        """Hash of each run of `size` words."""
+        """Hash of each run of `size`."""
         starts = np.arange(len(self.sums) - size)
         return self(starts, starts + size)
+
+
+def hashed(texts: list[str | None], lower: bool = False) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words in order. lower takes A-Z as a-z."""
+    at = 0
+    while at < len(texts):
+        block, size = [], 0
+        while at < len(texts) and (not block or size < BLOCK):
+            block.append(texts[at].encode("utf-8", "surrogatepass") if texts[at] else b"")
+            size += len(block[-1]) + 1
+            at += 1
+        data = np.frombuffer(b" " + b" ".join(block) + b" ", np.uint8)
+        edge = np.flatnonzero(np.diff(SPACE[data].astype(np.int8)))
+        start, end = edge[::2] + 1, edge[1::2] + 1
+        words = Runs((LOWER if lower else BYTES)[data], BASES[2])(start, end)
+        bounds = np.searchsorted(start, np.cumsum([1] + [len(b) + 1 for b in block]))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield words[a:b]
