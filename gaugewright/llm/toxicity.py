@@ -30,7 +30,7 @@ from gaugewright.llm.features import Adam, Rows, collect_sample, sigmoid, word_b
 
 BUCKETS = 1 << 18
 POSITIVES, UNLABELLED, MIN_ROWS, DEVIATIONS = 3000, 12000, 4, 4.0
-STEPS, RATE, L2 = 200, 0.05, 3e-4
+STEPS, RATE, PENALTY = 200, 0.05, 0.1
 THRESHOLD = 0.3
 
 
@@ -69,7 +69,7 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
             dw, db = (prior * plus[i] + loose[i] - prior * minus[i] for i in (0, 1))
         else:
             dw, db = (prior * minus[i] - loose[i] for i in (0, 1))
-        w -= for_w.step(dw + L2 * w)
+        w -= for_w.step(dw + PENALTY / np_ * w)
         b -= float(for_b.step(np.array([db]))[0])
     weights = np.zeros(buckets, np.float32)
     weights[used] = w
