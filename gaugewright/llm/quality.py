@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from gaugewright.llm.common import fold, map_batches, spread_sample
 from gaugewright.llm.features import PLAIN, Adam, Rows, collect_sample, raw, sigmoid
 
 BUCKETS, FACTORS, BINS = 1 << 15, 8, 10
-SAMPLE, EPOCHS, BATCH, RATE, L2 = 4000, 6, 256, 0.02, 1e-5
+SAMPLE, EPOCHS, STEPS, BATCH, RATE, L2 = 4000, 6, 200, 256, 0.02, 1e-5
 THRESHOLD = 0.3
 
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -92,7 +93,7 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 0)
     random = np.random.default_rng(seed)
     model = Model(float(np.log(y.mean() / (1 - y.mean()))), np.zeros(SIZE), random.normal(0, 0.02, (SIZE, FACTORS)))
     for_w, for_v = Adam((SIZE,), RATE), Adam((SIZE, FACTORS), RATE)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x)))):  # a small sample is gone over more often
         order = random.permutation(len(x))
         for start in range(0, len(x), BATCH):
             some = order[start : start + BATCH]
@@ -159,8 +160,6 @@ def scorer(docs: DataFrame, model: Model):
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score the threshold or more."""
-    import pandas as pd
-
     run = scorer(docs, model)
 
     @F.pandas_udf("double")
