@@ -199,8 +199,26 @@ def test_messages(spark):
 
 
 def test_phases_end_to_end(spark, tmp_path):
-    steps = phases.learn_baseline(cell_report(spark, 60), ue_report(spark, 60), str(tmp_path / "art"))
+    cells = cell_report(spark, 60).withColumn("RRU.PrbUsedDl", F.when(F.minute("timestamp") > 40, 500.0).otherwise(E.col("RRU.PrbUsedDl")))
+    steps = phases.learn_baseline(cells, ue_report(spark, 60), str(tmp_path / "art"))
     doc = readers.baseline(str(tmp_path / "art"))
     assert steps["baseline"] and doc["cadence_sec"] == 60.0 and doc["ue_cell_thp_ratio"]["dl"]["n"] == 60
-    labelled = phases.label_windows(cell_report(spark, 60), ue_report(spark, 60), doc, 300, 60)
+    labelled = phases.label_windows(cells, ue_report(spark, 60), doc, 300, 60)
     assert labelled.columns == features.feature_columns() and labelled.where("label is null").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gaugewright.__main__ import main
+
+    epoch = lambda df: df.withColumn("timestamp", F.unix_timestamp("timestamp"))
+    used = F.when(F.minute("timestamp") > 25, 500.0).otherwise(E.col("RRU.PrbUsedDl"))
+    writers.csv(epoch(cell_report(spark, 40).withColumn("RRU.PrbUsedDl", used)), str(tmp_path / "cells"))
+    writers.csv(epoch(ue_report(spark, 40)), str(tmp_path / "ues"))
+    c, u, art = str(tmp_path / "cells"), str(tmp_path / "ues"), str(tmp_path / "art")
+    main(["inspect", c])
+    main(["learn", c, u, art])
+    main(["inject", c, str(tmp_path / "faulty"), "--share", "0.9"])
+    main(["label", c, u, art, str(tmp_path / "labelled")])
+    assert "Viavi.Cell.Name" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "labelled_v001")).columns == features.feature_columns()
+    assert readers.csv_inferred(spark, str(tmp_path / "faulty" / "manifest")).count() > 0
