@@ -103,7 +103,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each text."""
     digests = cut(two_columns(docs, id_col, text_col).select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), text_digest(docs[text_col]).alias("digest"))
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), text_digest(docs[text_col]).alias("digest"))
     light = row.join(F.broadcast(winners(digests, k)), "digest", "left").where(F.col("heavy_n").isNull() | F.col("doc_id").eqNullSafe(F.col("heavy_id")))
     first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last()))
     return light.withColumn("nth", first).where("nth = 1").select("row.*")
