@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import col, corr, decimals, micros, number, ratio, seconds_between
+from gaugewright.operators.ranks import previous
 
 
 def band(x: Column, least: int = 0) -> list[Column]:
@@ -91,12 +92,12 @@ def hourly_template(df: DataFrame, ts: str, entity: str, default_median: float,
 
 
 def gaps(streams: Sequence[tuple[DataFrame, str]]) -> DataFrame:
-    """Gaps in seconds between the distinct times of all streams. The order is global: times are few beside rows."""
+    """Gaps in seconds between the distinct times of all streams."""
     times = None
     for df, ts in streams:
         t = df.select(micros(col(ts)).alias("us")).where("us is not null").distinct()
         times = t if times is None else times.unionByName(t)
-    return times.distinct().select(((F.col("us") - F.lag("us").over(Window.orderBy("us"))) / 1e6).alias("gap")).where("gap is not null")
+    return previous(times.distinct(), F.col("us")).select(((F.col("us") - F.col("previous")) / 1e6).alias("gap")).where("gap is not null")
 
 
 def cadence(streams: Sequence[tuple[DataFrame, str]]) -> DataFrame:

@@ -9,21 +9,21 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import clip, col, number
+from gaugewright.operators.ranks import row_numbers
+from gaugewright.operators.windows import ordinal
 
 
 def time_split(df: DataFrame, order: Sequence[str], share: float = 0.8, tiebreak: str | None = None, out: str = "part") -> DataFrame:
-    """part is train for the first share of rows by time, else test. order: times to take the first non-NULL of.
-
-    The cut is found by numbering rows in one order: meant for tables of windows, not of reports.
-    """
-    at = F.coalesce(*[col(o) for o in order])
-    numbered = df.withColumn("_n", F.row_number().over(Window.orderBy(at, *([col(tiebreak)] if tiebreak else []))))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return numbered.crossJoin(F.broadcast(total)).withColumn(out, F.when(F.col("_n") <= F.floor(F.col("_total") * share), "train").otherwise("test")).drop("_n", "_total")  # a single row
+    """part is train for the first share of rows by time, else test. order: times (or numbers, or times as text) to take the first non-NULL of."""
+    kinds = dict(df.dtypes)
+    number_of = lambda o: F.unix_micros(F.try_to_timestamp(col(o))) if kinds[o] == "string" else ordinal(df, o)
+    at = F.coalesce(*[number_of(o) for o in order if o in kinds])
+    cut = int(df.count() * share)
+    return row_numbers(df, at, [tiebreak] if tiebreak else [], "_n").withColumn(out, F.when(F.col("_n") <= cut, "train").otherwise("test")).drop("_n")
 
 
 def usable_columns(df: DataFrame, names: Sequence[str]) -> list[str]:

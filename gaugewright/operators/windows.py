@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import col, micros, window_name
+from gaugewright.operators.ranks import row_numbers
 
 
 def span(streams: Sequence[tuple[DataFrame, str]], common: bool = True) -> tuple[int, int]:
@@ -72,19 +73,20 @@ def statistics(windows: DataFrame, completeness: str = "completeness", rows: str
 
 
 def even_stride(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at an even stride of their order. A total order is needed: use it on dimension-sized tables such as windows."""
-    from pyspark.sql import Window
-
+    """n rows at an even stride of their order (a number or a time)."""
     total = df.count()
     step = max(1, total // max(1, n))
-    numbered = df.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.where((F.col("_at") % step == 0) & (F.col("_at") < step * n)).drop("_at")
+    at = F.col("_n") - 1
+    return row_numbers(df, ordinal(df, order), out="_n").where((at % step == 0) & (at < step * n)).drop("_n")
 
 
 def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The rows at n evenly spaced places from first to last."""
-    from pyspark.sql import Window
-
+    """The rows at n evenly spaced places from first to last of their order (a number or a time)."""
     total = df.count()
     places = sorted({int(i * (total - 1) / max(1, n - 1)) for i in range(min(n, total))})
-    return df.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_at").isin(places)).drop("_at")
+    return row_numbers(df, ordinal(df, order), out="_n").where((F.col("_n") - 1).isin(places)).drop("_n")
+
+
+def ordinal(df: DataFrame, name: str) -> Column:
+    """A number that orders as the column does."""
+    return micros(col(name)) if dict(df.dtypes)[name] in ("date", "timestamp", "timestamp_ntz") else col(name)

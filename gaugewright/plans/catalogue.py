@@ -630,10 +630,10 @@ def jsd(spark, sf):
 # sets
 
 
-@query("SELECT DISTINCT epoch_us(ts) AS ts_us FROM (SELECT ts FROM events WHERE event_type = 'click' UNION SELECT ts FROM events WHERE user_id < 50)")
+@query("SELECT DISTINCT epoch_us(ts) AS ts_us FROM (SELECT ts FROM events WHERE event_type = 'click' UNION SELECT ts FROM events WHERE event_type = 'view')")
 def union_distinct_ts(spark, sf):
     ev = events(spark, sf).select(us("ts").alias("ts_us"), "event_type", "user_id")
-    return ev.where(F.col("event_type") == "click").select("ts_us").union(ev.where("user_id < 50").select("ts_us")).distinct()
+    return ev.where(F.col("event_type") == "click").select("ts_us").union(ev.where(F.col("event_type") == "view").select("ts_us")).distinct()
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")

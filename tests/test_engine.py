@@ -222,3 +222,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Viavi.Cell.Name" in capsys.readouterr().out
     assert spark.read.parquet(str(tmp_path / "labelled_v001")).columns == features.feature_columns()
     assert readers.csv_inferred(spark, str(tmp_path / "faulty" / "manifest")).count() > 0
+
+
+def test_ranks_over_the_whole_table(spark):
+    from gaugewright.operators import ranks
+
+    df = spark.range(500).select(((F.col("id") * 37) % 91).alias("x"), "id").unionByName(spark.createDataFrame([(None, 1000)], "x long, id long")).repartition(7)
+    rows = sorted(((r.x if r.x is not None else -1, r.id), r.n) for r in ranks.row_numbers(df, F.col("x"), ["id"]).collect())
+    assert [n for _, n in rows] == list(range(1, 502))
+    got = {r.x: r.previous for r in ranks.previous(df.where("x is not null").select("x").distinct(), F.col("x")).collect()}
+    assert got == {x: (x - 1 if x else None) for x in range(91)}
+    assert ranks.row_numbers(df.limit(0), F.col("x")).count() == 0
+    assert windows.evenly_spaced(spark.range(101), "id", 3).orderBy("id").collect() == [(0,), (50,), (100,)]
