@@ -43,7 +43,7 @@ from gaugewright.llm.words import Runs, hashed
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, SLICE, MERGERS = 20, 4096, 64
-SMALL, ROUNDS = 8, 4
+SMALL, ROUNDS = 8, 2
 SEEN_CLASSES, TRIE = 500_000, 512
 
 
@@ -274,6 +274,13 @@ def reachable(n: str, place: str, m: str, other: str, percent: int) -> Column:
     return most * 100 >= (F.col(n) + F.col(m) - most) * percent
 
 
+def ascending(df: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
+    """Pairs as (a, n, b, m) with a before b."""
+    forth = F.col(x) < F.col(y)
+    one = lambda p, q: F.when(forth, F.col(p)).otherwise(F.col(q))
+    return df.select(one(x, y).alias("a"), one(nx, ny).alias("n"), one(y, x).alias("b"), one(ny, nx).alias("m"))
+
+
 def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
     """(a, b): links between classes that have the same components as all links."""
     spark = docs.sparkSession
@@ -281,7 +288,7 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
     limit = int(4 * sketch.mean()) + 64
     dealt = prefixes(docs, sent, limit, size, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
     found = cut(candidates(dealt, percent), "candidates")
-    pairs = found.where("not big").select("a", "n", "b", "m").distinct()
+    pairs = found.where("not big").select("a", "n", "b", "m")
     big = found.where("big").select("token", F.col("a").alias("c"), "n", "place").distinct()
 
     involved = found.select(F.col("a").alias("class")).unionByName(found.where("not big").select(F.col("b").alias("class"))).distinct()
@@ -294,31 +301,35 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
             yield {"class": [c for c, k in zip(b["class"], ok, strict=True) if k], "text": [t for t, k in zip(b["text"], ok, strict=True) if k]}
 
     texts = cut(map_batches(joined, own, "class long, text string"), "texts")
-    reached = similarity() >= percent / 100
-    links = [cut(verify(pairs, texts, sent, size, percent).select("a", "b"), "links")]
     least = 2 * percent - 100  # below this a member is too far from the pivot to link with any that links with it
+    links = []
+
+    def compared(asked: DataFrame) -> DataFrame:
+        """The pairs, each once, that reach `least`; links are kept. Few pairs are known to be few, and are broadcast to the texts."""
+        found = cut(verify(cut(asked.distinct(), "pairs"), texts, sent, size, least), "compared")
+        links.append(found.where(F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).select("a", "b"))
+        return found
+
+    asked = pairs
     for r in range(ROUNDS + 1):
         sizes = big.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct((F.col("place") / F.col("n")).alias("share"), "c", "n")).alias("pivot")).where("members > 1")
         group = cut(big.join(sizes, "token").select("token", "c", "n", "place", "members", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("q")), "groups")
         last = r == ROUNDS
-        few = group.where(F.lit(last) | (F.col("members") <= SMALL)).select("token", "c", "n", "place")
+        few, many = (group.where(w) for w in ((F.lit(last) | (F.col("members") <= SMALL)), ~F.lit(last) & (F.col("members") > SMALL)))
         other = few.select("token", F.col("c").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
-        each = few.withColumnRenamed("c", "a").join(other, "token").where(F.col("a") < F.col("b")).where(fits("n", "m", percent) & reachable("n", "place", "m", "other", percent)).select("a", "n", "b", "m").distinct()
-        links.append(cut(verify(each, texts, sent, size, percent).select("a", "b"), "links"))
-        many = group.where(F.col("members") > SMALL)
+        asked = asked.unionByName(few.withColumnRenamed("c", "a").join(other, "token").where(F.col("a") < F.col("b")).where(fits("n", "m", percent) & reachable("n", "place", "m", "other", percent)).select("a", "n", "b", "m"))
+        asked = asked.unionByName(ascending(many.where(F.col("c") != F.col("p")).where(fits("n", "q", least)), "p", "q", "c", "n"))
+        near = compared(asked)
         if last or many.isEmpty():
             break
-        star = many.where(F.col("c") != F.col("p")).where(fits("n", "q", least)).select(F.col("p").alias("a"), F.col("q").alias("n"), F.col("c").alias("b"), F.col("n").alias("m")).distinct()
-        near = cut(verify(star, texts, sent, size, least).withColumn("s", similarity()).withColumn("linked", F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent), "stars")
-        links.append(near.where("linked").select("a", "b"))
-        state = many.join(near.select(F.col("a").alias("p"), F.col("b").alias("c"), "s", "linked"), ["p", "c"], "left")
-        state = cut(state.select("token", "c", "n", "place", F.when(F.col("c") == F.col("p"), 1.0).otherwise(F.col("s")).alias("s"), ((F.col("c") == F.col("p")) | F.coalesce("linked", F.lit(False))).alias("linked")), "states")
+        near = near.select(F.col("a").alias("lo"), F.col("b").alias("hi"), similarity().alias("s"), (F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).alias("linked"))
+        state = many.withColumns({"lo": F.least("p", "c"), "hi": F.greatest("p", "c")}).join(near, ["lo", "hi"], "left")
+        pivot = F.col("c") == F.col("p")
+        state = cut(state.select("token", "c", "n", "place", F.when(pivot, 1.0).otherwise(F.col("s")).alias("s"), (pivot | F.coalesce("linked", F.lit(False))).alias("linked")), "states")
         inside = state.where("linked").select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("s").alias("sx"))
         outside = state.where(~F.col("linked") & F.col("s").isNotNull()).select("token", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("s").alias("sy"))
         cross = inside.join(outside, "token").where((F.col("sx") - F.col("sy") <= 1 - percent / 100 + 1e-9) & fits("nx", "ny", percent) & reachable("nx", "px", "ny", "py", percent))
-        forth = F.col("x") < F.col("y")
-        cross = cross.select(F.when(forth, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(forth, F.col("nx")).otherwise(F.col("ny")).alias("n"), F.when(forth, F.col("y")).otherwise(F.col("x")).alias("b"), F.when(forth, F.col("ny")).otherwise(F.col("nx")).alias("m")).distinct()
-        links.append(cut(verify(cross, texts, sent, size, percent).select("a", "b"), "links"))
+        asked = ascending(cross, "x", "nx", "y", "ny")  # compared with the next round's pairs
         big = state.where(~F.col("linked")).select("token", "c", "n", "place")
     out = links[0]
     for more in links[1:]:
