@@ -7,7 +7,7 @@ byte positions. Piece probabilities come from expectation maximisation with forw
 A text's score for a language is the sum of its words' log probabilities plus the log share of the
 language; the prediction is the best one and `score` its posterior probability.
 
-Words are runs of letters; long ones are read in stretches of STRETCH bytes. Fitting uses at most
+Words are runs of letters in lower case; long ones are read in stretches of STRETCH bytes. Fitting uses at most
 SAMPLE rows of each language, spread by a hash of the id. Null texts and texts without a letter are
 `und` with score 0, and so is everything when nothing could be learned. Ties go to the language first
 in order. Rows with null lang or id teach nothing. Texts of any length are scored whole; repeated rows
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.llm.common import fold, map_batches, spread_sample, two_columns
+from gaugewright.llm.words import BASES, BYTES, Runs, mix
 
 SAMPLE, ROUNDS = 400, 3
 PIECE_BYTES, STRETCH, FLOOR = 12, 32, 1e-8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 NONE = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes: ASCII that is no letter becomes a space.
+TO_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def vocabulary_path() -> str:
@@ -41,31 +45,62 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def read_pieces(path: str) -> dict[bytes, int]:
+def read_pieces(path: str) -> Pieces:
     """Piece -> number; only pieces short enough to be looked for."""
     with open(path, "rb") as lines:
         found = sorted(p for p in (base64.b64decode(line.split()[0]) for line in lines) if len(p) <= PIECE_BYTES)
-    return {p: i for i, p in enumerate(sorted({*found, *(bytes([b]) for b in range(256))}))}
+    return Pieces(sorted({*found, *(bytes([b]) for b in range(256))}))
 
 
-def stretches(run: str) -> list[bytes]:
-    """The words of a white-space-free run, as bytes to segment."""
-    out = []
-    for word in LETTERS.findall(run):
-        data = b" " + word.lower().encode("utf-8", "surrogatepass")
-        out += [data[i : i + STRETCH] for i in range(0, len(data), STRETCH)]
-    return out
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case runs of characters that aren't ASCII non-letters."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(TO_LETTERS).split() if text else []
+
+
+def stretches(run: bytes) -> list[bytes]:
+    """The words of a run, as bytes to segment."""
+    words = [run] if run.isascii() else [w.encode("utf-8") for w in LETTERS.findall(run.decode("utf-8", "replace"))]
+    return [data[i : i + STRETCH] for data in (b" " + w for w in words) for i in range(0, len(data), STRETCH)]
+
+
+class Pieces(dict):
+    """piece -> number, and the numbers of many byte runs at once, by their hashes."""
+
+    SLOTS = 20  # bits
+
+    def __init__(self, found: list[bytes]):
+        super().__init__((p, i) for i, p in enumerate(found))
+        self.hashes = np.array([*(int(Runs(BYTES[np.frombuffer(p, np.uint8)])(np.array([0]), np.array([len(p)]))[0]) for p in found), 0], np.uint64)
+        self.first = np.full(1 << self.SLOTS, len(found), np.int32)
+        self.next = np.full(len(found) + 1, len(found), np.int32)
+        self.longest = 1
+        for i, h in enumerate((self.hashes[:-1] >> np.uint64(64 - self.SLOTS)).tolist()):
+            self.next[i], self.first[h] = self.first[h], i
+            length, at = 1, self.next[i]
+            while at < len(found):
+                length, at = length + 1, self.next[at]
+            self.longest = max(self.longest, length)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """len(self) where a run is no piece."""
+        at = self.first[hashes >> np.uint64(64 - self.SLOTS)]
+        for _ in range(self.longest):
+            at = np.where(self.hashes[at] == hashes, at, self.next[at])
+        return np.where(self.hashes[at] == hashes, at, len(self))
 
 
 class Lattice:
     """All segmentations of words of one length: for each start and end, the number of the piece between (or the last number, which has probability 0)."""
 
-    def __init__(self, words: list[bytes], pieces: dict[bytes, int]):
+    def __init__(self, words: list[bytes], pieces: Pieces):
         self.n, none = len(words[0]), len(pieces)
+        up, down = Runs.powers(BASES[0], self.n + 1)
+        sums = np.zeros((self.n + 1, len(words)), np.uint64)
+        np.cumsum(BYTES[np.frombuffer(b"".join(words), np.uint8).reshape(-1, self.n).T] * up[: self.n, None], 0, out=sums[1:])
         self.arcs = []
         for j in range(1, self.n + 1):
             for i in range(max(0, j - PIECE_BYTES), j):
-                ids = np.fromiter((pieces.get(w[i:j], none) for w in words), np.int64, len(words))
+                ids = pieces.numbers(mix((sums[j] - sums[i]) * down[i]))
                 if (ids != none).any():
                     self.arcs.append((i, j, ids))
 
@@ -107,7 +142,7 @@ class Model:
     log_share: np.ndarray
     p: np.ndarray  # pieces (and one of probability 0) x languages
     path: str
-    pieces: dict[bytes, int] = field(default_factory=dict)
+    pieces: Pieces = field(default_factory=lambda: Pieces([]))
 
     def log_words(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
@@ -146,7 +181,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         found: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
-                for run, n in Counter((text or "").split()).items():
+                for run, n in Counter(words_of(text)).items():
                     for w in stretches(run):
                         found[lang][w] += n
         for lang, c in found.items():
@@ -165,7 +200,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known, self.logs = model, {}, np.zeros((1, len(model.languages)))
 
-    def learn(self, runs: list[str]) -> None:
+    def learn(self, runs: list[bytes]) -> None:
         parts = [stretches(r) for r in runs]
         words = list({w for p in parts for w in p})
         logs, at = self.model.log_words(words), {w: i for i, w in enumerate(words)}
@@ -180,7 +215,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.known) > CACHED_WORDS:
             self.known, self.logs = {}, self.logs[:1]
-        runs = [t.split() if t else [] for t in texts]
+        runs = [words_of(t) for t in texts]
         known = self.known
         new = list({r for x in runs for r in x if r not in known})
         if new:
@@ -200,20 +235,27 @@ class Scorer:
         return names, scores
 
 
-def read_scorer(languages: list[str], log_share: np.ndarray, p: np.ndarray, path: str) -> Scorer:
-    return Scorer(Model(languages, log_share, p, path, read_pieces(path)))
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(key: str, languages: list[str], log_share: np.ndarray, p: np.ndarray, path: str) -> Scorer:
+    """The scorer that this worker keeps for its next tasks."""
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(Model(languages, log_share, p, path, read_pieces(path)))
+    return _scorers[key]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row. The model sent out has a number for each piece and language."""
     rows = two_columns(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_share, model.p, model.path))
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.languages, model.log_share, model.p, model.path))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        scorer = read_scorer(*sent.value)
+        scorer = scorer_of(key, *sent.value)
         for b in batches:
-            for at in range(0, len(b["text"]), 250):
-                names, scores = scorer(b["text"][at : at + 250])
-                yield {"doc_id": b["doc_id"][at : at + 250], "lang_pred": names, "score": scores}
+            for at in range(0, len(b["text"]), 1000):
+                names, scores = scorer(b["text"][at : at + 1000])
+                yield {"doc_id": b["doc_id"][at : at + 1000], "lang_pred": names, "score": scores}
 
     return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

@@ -53,7 +53,7 @@ def test_sum_of_squares_identity():
 
 
 def test_segmentations_are_summed():
-    pieces = {b: i for i, b in enumerate([b" ", b"a", b"b", b" a", b"ab"])}
+    pieces = language_id.Pieces([b" ", b"a", b"b", b" a", b"ab"])
     p = np.array([[0.1], [0.2], [0.3], [0.05], [0.25], [0.0]])
     got = language_id.Lattice([b" ab"], pieces).forward(p)[3, 0, 0]
     assert got == pytest.approx(0.1 * 0.2 * 0.3 + 0.05 * 0.3 + 0.1 * 0.25)
