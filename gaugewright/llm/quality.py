@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on labelled rows whose fold is not the held-out one."""
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     totals = {r[0]: r[1] for r in marks.groupBy("y").count().collect()}
-    rows = chosen(docs, id_col, text_col).join(spread_sample(marks, F.col("doc_id"), F.col("y"), sample), "doc_id")
+    few = F.broadcast(spread_sample(marks, F.col("doc_id"), F.col("y"), sample))  # two classes of `sample` ids, whatever the input
+    rows = chosen(docs, id_col, text_col).join(few, "doc_id")
 
     def packed(row: dict) -> bytes:
         at, values = features(row["text"], row["n_chars"])
