@@ -88,8 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def sampled(rows: DataFrame, bound: int) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4").astype(np.int64) for x in collect_sample(spread_sample(rows, F.col("doc_id"), F.col("y"), bound), buckets, "y")[0]]
 
+    # `positives` ids, whatever the input
     confirmed = spread_sample(marks.where("y = 1"), F.col("doc_id"), F.col("y"), positives)
-    shown = sampled(texts.join(confirmed, "doc_id").select("doc_id", "text", "y"), positives)
+    shown = sampled(texts.join(F.broadcast(confirmed), "doc_id").select("doc_id", "text", "y"), positives)
     rest = sampled(texts.withColumn("y", F.lit(0)), unlabelled)
     return train(shown, rest, toxic / n if n else 0.0)
 
