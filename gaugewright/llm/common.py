@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,15 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find out now which shuffles nothing refers to any more, so that executors delete their files.
+
+    Spark does this by itself every 30 minutes; an operator that has cut its lineage needn't hold them so long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def two_columns(docs: DataFrame, id_col: str = DOC_ID, text_col: str = TEXT) -> DataFrame:
     """Only id and text, under fixed names: other columns, whatever their names, play no part."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -76,7 +86,7 @@ def fold(id_column: Column, parts: int) -> Column:
 def spread_sample(df: DataFrame, key: Column, stratum: Column, bound: int) -> DataFrame:
     """About bound rows of each stratum at most, the same on every run: those with small hashes of the key.
 
-    Strata are few (labels, languages); their counts cover all rows.
+    The number of rows is binomial with that mean: twice as many don't occur. Strata are few (labels, languages); their counts cover all rows.
     """
     counts = {r[0]: r[1] for r in df.groupBy(stratum.alias("s")).count().collect()}
     grain = 1 << 30

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import cut, drop_cut, map_batches, two_columns
+from gaugewright.llm.common import cut, drop_cut, map_batches, release, two_columns
 from gaugewright.llm.components import components
 from gaugewright.llm.words import Runs, hashed
 
@@ -281,13 +281,19 @@ def ascending(df: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
     return df.select(one(x, y).alias("a"), one(nx, ny).alias("n"), one(y, x).alias("b"), one(ny, nx).alias("m"))
 
 
-def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(a, b): links between classes that have the same components as all links."""
-    spark = docs.sparkSession
+def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links between classes that have the same components as all links; and the tables written for them."""
+    spark, written = docs.sparkSession, []
+
+    def cut_here(df: DataFrame, name: str) -> DataFrame:
+        written.append(cut(df, name))
+        return written[-1]
+
     sent = spark.sparkContext.broadcast(sketch)
     limit = int(4 * sketch.mean()) + 64
     dealt = prefixes(docs, sent, limit, size, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-    found = cut(candidates(dealt, percent), "candidates")
+    found = cut_here(candidates(dealt, percent), "candidates")
+    release(spark)
     pairs = found.where("not big").select("a", "n", "b", "m")
     big = found.where("big").select("token", F.col("a").alias("c"), "n", "place").distinct()
 
@@ -300,20 +306,21 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
             ok = [class_of(s) == c for s, c in zip(shingle_sets(b["text"], size), b["class"], strict=True)]
             yield {"class": [c for c, k in zip(b["class"], ok, strict=True) if k], "text": [t for t, k in zip(b["text"], ok, strict=True) if k]}
 
-    texts = cut(map_batches(joined, own, "class long, text string"), "texts")
+    texts = cut_here(map_batches(joined, own, "class long, text string"), "texts")
+    release(spark)
     least = 2 * percent - 100  # below this a member is too far from the pivot to link with any that links with it
     links = []
 
     def compared(asked: DataFrame) -> DataFrame:
         """The pairs, each once, that reach `least`; links are kept. Few pairs are known to be few, and are broadcast to the texts."""
-        found = cut(verify(cut(asked.distinct(), "pairs"), texts, sent, size, least), "compared")
+        found = cut_here(verify(cut_here(asked.distinct(), "pairs"), texts, sent, size, least), "compared")
         links.append(found.where(F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).select("a", "b"))
         return found
 
     asked = pairs
     for r in range(ROUNDS + 1):
         sizes = big.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct((F.col("place") / F.col("n")).alias("share"), "c", "n")).alias("pivot")).where("members > 1")
-        group = cut(big.join(sizes, "token").select("token", "c", "n", "place", "members", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("q")), "groups")
+        group = cut_here(big.join(sizes, "token").select("token", "c", "n", "place", "members", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("q")), "groups")
         last = r == ROUNDS
         few, many = (group.where(w) for w in ((F.lit(last) | (F.col("members") <= SMALL)), ~F.lit(last) & (F.col("members") > SMALL)))
         other = few.select("token", F.col("c").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"))
@@ -325,7 +332,7 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
         near = near.select(F.col("a").alias("lo"), F.col("b").alias("hi"), similarity().alias("s"), (F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).alias("linked"))
         state = many.withColumns({"lo": F.least("p", "c"), "hi": F.greatest("p", "c")}).join(near, ["lo", "hi"], "left")
         pivot = F.col("c") == F.col("p")
-        state = cut(state.select("token", "c", "n", "place", F.when(pivot, 1.0).otherwise(F.col("s")).alias("s"), (pivot | F.coalesce("linked", F.lit(False))).alias("linked")), "states")
+        state = cut_here(state.select("token", "c", "n", "place", F.when(pivot, 1.0).otherwise(F.col("s")).alias("s"), (pivot | F.coalesce("linked", F.lit(False))).alias("linked")), "states")
         inside = state.where("linked").select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("s").alias("sx"))
         outside = state.where(~F.col("linked") & F.col("s").isNotNull()).select("token", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("s").alias("sy"))
         cross = inside.join(outside, "token").where((F.col("sx") - F.col("sy") <= 1 - percent / 100 + 1e-9) & fits("nx", "ny", percent) & reachable("nx", "px", "ny", "py", percent))
@@ -334,7 +341,7 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return out
+    return out, written
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
@@ -343,11 +350,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     first = cut(classify(rows, shingle, bits), "sets")
     sets = first.where("slice is null").select("doc_id", "class", "n")
     sketch = merged_sketch(first.where("slice is not null").select("slice", "counts"), bits)
-    roots = components(links_of(rows, sets, sketch, shingle, percent))
+    links, written = links_of(rows, sets, sketch, shingle, percent)
+    roots = components(links)
     low = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     rooted = low.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "low", F.coalesce("root", "class").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut(rooted.join(ids, "root").select(F.col("class").alias("of"), "component_id"), "classes")
+    for table in written:
+        drop_cut(table)
+    release(docs.sparkSession)
     full = sets.where("n > 0").join(named, F.col("class") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
