@@ -56,8 +56,8 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, with those of the runs between spaces and line ends remembered.
 
-    The tokenizer drops white space and never joins across it, so runs can be encoded one by one; any
-    other white space stays inside a run. Most runs are a word of Latin letters with marks behind:
+    The tokenizer drops white space and never joins across it, so runs can be encoded one by one, and it
+    takes A-Z as a-z; any other white space stays inside a run. Most runs are a word of Latin letters with marks behind:
     such words go to the model itself, many at once, in lower case and as byte letters, which is what
     the tokenizer's normaliser and splitter make of them. All other runs go to the whole tokenizer.
     """
@@ -76,74 +76,73 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # run -> its place in start and count
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count, self.runs = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-
-    def add(self, run: str, ids: np.ndarray) -> None:
-        n, at, used = len(ids), self.runs, self.used
-        if used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + n, np.uint32)])
-        if at == len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.ids[used : used + n] = ids
-        self.start[at], self.count[at] = used, n
-        self.known[run] = at
-        self.runs, self.used = at + 1, used + n
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of lower-case Latin words."""
+        self.parts: dict[str, int] = {"": 0}  # word or tail or other run -> its place in start and count
+        self.runs: dict[str, int] = {"": 0}  # run -> its place in pairs: the parts that make it
+        self.ids, self.start, self.count, self.pairs = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, 2), np.int64)
+
+    def add(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New parts, their ids one after another, and where each one's end."""
+        starts = np.r_[0, ends[:-1]].astype(np.int64)
+        self.parts.update(zip(parts, range(len(self.start), len(self.start) + len(parts)), strict=True))
+        self.start, self.count = np.r_[self.start, len(self.ids) + starts], np.r_[self.count, ends - starts]
+        self.ids = np.r_[self.ids, ids]
+
+    def add_words(self, words: list[str]) -> None:
+        """Lower-case Latin words."""
         said = "\n".join(words).encode().decode("latin-1").translate(self.letters)
         ids = np.array(self.model.encode_batch_fast([said], add_special_tokens=False)[0].ids, np.uint32)
-        at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) != len(words):
-            return self.others(words)
-        return np.split(ids, at[:-1])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(words):
+            self.add(words, ids, ends)
+        else:
+            self.add_others(words)
 
-    def others(self, runs: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+    def add_others(self, runs: list[str]) -> None:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        self.add(runs, np.array([i for ids in made for i in ids], np.uint32), np.cumsum([len(ids) for ids in made]))
 
     def learn(self, runs: list[str]) -> None:
-        split, other, words = [], [], {}
+        parts, words, others = self.parts, {}, {}
+        split: list[tuple[str, str]] = []
         for run in runs:
             core = run.rstrip(TAIL)
             low = core.lower()
-            if low.isalpha() and max(low) < "\u0250":
-                split.append((run, low, run[len(core) :]))
-                if low not in self.known:
+            if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+                tail = run[len(core) :]
+                if low not in parts:
                     words[low] = None
+                if tail not in parts:
+                    others[tail] = None
             else:
-                other.append(run)
+                low, tail = run, ""
+                if run not in parts:
+                    others[run] = None
+            split.append((low, tail))
         if words:
-            for word, ids in zip(words, self.words(list(words)), strict=True):
-                self.add(word, ids)
-        tails = list({t for _, _, t in split if t not in self.known})
-        for run, ids in zip(tails + other, self.others(tails + other), strict=True):
-            self.add(run, ids)
-        for run, low, tail in split:
-            if run not in self.known:
-                w, t = self.known[low], self.known[tail]
-                if not tail:
-                    self.known[run] = w
-                    continue
-                n, m, a, b = self.count[w], self.count[t], self.start[w], self.start[t]
-                self.add(run, np.concatenate([self.ids[a : a + n], self.ids[b : b + m]]))
+            self.add_words(list(words))
+        if others:
+            self.add_others(list(others))
+        self.runs.update(zip(runs, range(len(self.pairs), len(self.pairs) + len(runs)), strict=True))
+        self.pairs = np.concatenate([self.pairs, np.array([(parts[w], parts[t]) for w, t in split], np.int64)])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.known) > CACHED_WORDS:
+        if len(self.runs) > CACHED_WORDS:
             self.forget()
-        runs = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found in texts as they are
+            texts = pc.ascii_lower(texts)
+        runs = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = runs.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        new = [r for r in names if r not in self.known]
+        new = [r for r in names if r not in self.runs]
         if new:
             self.learn(new)
-        known = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        each = coded.indices.to_numpy()
-        start, count = self.start[known][each], self.count[known][each]
+        known = np.fromiter(map(self.runs.__getitem__, names), np.int64, len(names))
+        each = self.pairs[known][coded.indices.to_numpy()].ravel()
+        start, count = self.start[each], self.count[each]
         ends = np.cumsum(count)
         flat = self.ids[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.r_[0, ends][runs.offsets.to_numpy()]
+        edges = np.r_[0, ends][2 * runs.offsets.to_numpy().astype(np.int64)]
         return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
