@@ -31,7 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){38,}(?:(?:\r?\n)?={1,2})?")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
+#: A header starts with a brace or with JSON's white space, whose base64url begins with one of four letters.
+JWT_HEAD = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]++(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
 
 Span = tuple[int, int]
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
@@ -104,7 +105,7 @@ def unbase64(run: str) -> bytes | None:
 def keys(text: str) -> list[Span]:
     found = []
     for m in BASE64.finditer(text):
-        if m[0].startswith(("MI", "MH", "MF", "MC", "b3BlbnNzaC1rZXktdjE")) and (data := unbase64(m[0])) and private_key(data):
+        if m[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")) and (data := unbase64(m[0])) and private_key(data):  # a DER sequence, 0x30, always gives M
             found.append(m.span())
     for m in ANY_HEX.finditer(text):
         if m[0][:2] in ("30", "6f", "6F") and private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
@@ -117,16 +118,21 @@ def keys(text: str) -> list[Span]:
 
 
 def tokens(text: str) -> list[Span]:
-    out = []
-    for m in JWT.finditer(text):
-        head, body, sign = m[0].split(".")
+    out: list[Span] = []
+    for m in JWT_HEAD.finditer(text):
+        if out and m.start() < out[-1][1]:
+            continue
+        head, (body, sign) = m[0], m[1][1:].split(".")
         try:
-            header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+            header = base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)).decode()
+            if not header.lstrip(" \t\n\r").startswith("{"):
+                continue
+            header = json.loads(header)
             base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)), base64.urlsafe_b64decode(sign + "=" * (-len(sign) % 4))
         except (binascii.Error, ValueError, RecursionError):
             continue
         if isinstance(header, dict) and isinstance(header.get("alg"), str):
-            out.append(m.span())
+            out.append((m.start(), m.end(1)))
     return out
 
 
@@ -134,7 +140,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All (kind, start, end), by start and then by kind."""
     hexes = [m.span() for m in HEX.finditer(text)]
     access = [m.span() for m in ACCESS.finditer(text)] if "AKIA" in text else []
-    found = (assigned(text), access, hexes, keys(text), tokens(text) if "eyJ" in text else [])
+    found = (assigned(text), access, hexes, keys(text), tokens(text))
     return [(KINDS[k], a, b) for a, k, b in sorted((a, k, b) for k, spans in enumerate(found) for a, b in spans)]
 
 

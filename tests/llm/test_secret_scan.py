@@ -67,6 +67,28 @@ def test_structures_are_confirmed():
     assert ("key", ssh) in kinds(ssh)
 
 
+def test_short_keys_of_any_length():
+    oid = der(6, b"\x2b\x65\x71")
+    ed448 = der(0x30, der(2, b"\0") + der(0x30, oid) + der(4, der(4, b"\x05" * 57)))
+    p256 = der(0x30, der(2, b"\0") + der(0x30, oid + oid) + der(4, der(0x30, der(2, b"\1") + der(4, b"\x07" * 32))))
+    bare = der(0x30, der(2, b"\1") + der(4, b"\x07" * 32) + der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+    sizes = [der(0x30, der(2, b"\1") + der(4, b"\x07" * n)) for n in range(24, 73)]
+    runs = [base64.b64encode(k).decode() for k in (ed448, p256, bare, *sizes)]
+    assert {r[:2] for r in runs} >= {"MD", "ME"} and runs[0].startswith("MEc") and runs[2].startswith("MDE")
+    for run in runs:
+        assert ("key", run) in kinds(f"x {run} y")
+
+
+def test_token_headers_with_spaces():
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for head in (b'{ "alg": "HS256"}', b'{\n  "alg": "HS256"\n}', b'{\r\n"alg":"none"}', b'{\t"alg":"x"}', b' {"alg":"x"}', b'\n{"alg":"x"}', b'\r\n{"alg":"x"}', b'\t{"alg":"x"}'):
+        token = f"{part(head)}.{part(b'{}')}.c2lnbmF0dXJl"
+        for before in ("", "id ", "example.", "Dot.each.", "eyJ.eyJ."):
+            assert [t for k, t in kinds(f"{before}{token} x") if k == "jwt"] == [token]
+    assert not any(k == "jwt" for k, _ in kinds(f"{part(b'[1, 2]')}.e30.e30 example.com.uk {part(b'{ 1')}.e30.e30 {part(bytes([123, 255]))}.e30.e30"))
+    assert len([1 for k, _ in kinds(f"{jwt()}.{jwt()} {jwt()}") if k == "jwt"]) == 3
+
+
 def test_query_digests(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in queries.table(spark, sf_dir, "documents").collect()}
     rows = queries.op6_secret_scan(spark, sf_dir).collect()
