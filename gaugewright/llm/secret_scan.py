@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and long hex runs. On top, base64 an
 and reported only if their structure holds: `key` for a private key whose encoding parses (nested
 ASN.1 lengths that add up, as PKCS#1, PKCS#8 or SEC 1; or the OpenSSH container), `jwt` for a signed
 token whose header decodes to a JSON object with an algorithm and whose other parts are base64url.
-A run may be broken by line ends, as in PEM bodies.
+A run may be broken by line ends, as in PEM bodies; a key in it may start at any line and ends where
+its own lengths say, so lines of plain text before and after it don't matter.
 
 Spans are code points of the text, end excluded. Per kind they are leftmost and don't overlap; kinds
 may overlap. Null counts as empty; texts of any length are scanned whole; repeated rows give repeated
@@ -18,7 +19,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -30,6 +33,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){38,}(?:(?:\r?\n)?={1,2})?")
+LINE_END = re.compile(r"\r?\n")
+#: What may follow a key, by the number of characters that its last group of four lacks.
+PADDING = [re.compile(""), *(re.compile(rf"(?:\r?\n)?={{1,{n}}}") for n in (1, 2, 3))]
+OPENSSH = "b3BlbnNzaC1rZXktdjE"
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 #: A header starts with a brace or with JSON's white space, whose base64url begins with one of four letters.
 JWT_HEAD = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]++(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
@@ -102,11 +109,62 @@ def unbase64(run: str) -> bytes | None:
         return None
 
 
+def key_chars(body: str, at: int) -> int | None:
+    """How many base64 characters, without padding, the private key at `at` has; None if there is none."""
+    if body.startswith(OPENSSH, at):
+        data = unbase64(body[at:])
+        return -(-openssh_size(data) * 4 // 3) if data and private_key(data) else None
+    first = unbase64(body[at : at + 12]) if body.startswith("M", at) else None
+    if not first or len(first) < 9 or first[0] != SEQUENCE:
+        return None
+    # the length in the first bytes says how much to decode; the version must follow
+    size = first[1] & 0x7F if first[1] & 0x80 else 0
+    if size > 4 or first[2 + size] != INTEGER:
+        return None
+    n = 2 + size + (int.from_bytes(first[2 : 2 + size], "big") if size else first[1])
+    chars = -(-n * 4 // 3)
+    if at + chars > len(body):
+        return None
+    data = unbase64(body[at : at + chars])
+    return chars if data and private_key(data) else None
+
+
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH container at the start of data; all of data if its lengths don't add up."""
+    at, left = 15, 3
+    while left:
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    at, left = at + 4, int.from_bytes(data[at : at + 4], "big") + 1  # the public keys and the private part
+    while left:
+        if at + 4 > len(data):
+            return len(data)
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    return at if at <= len(data) else len(data)
+
+
+def keys_in(text: str, start: int, end: int) -> Iterator[Span]:
+    """The private keys that begin at a line of the base64 run between start and end."""
+    places, lines = [start], []
+    for m in LINE_END.finditer(text, start, end):
+        lines.append(text[places[-1] : m.start()])
+        places.append(m.end())
+    lines.append(text[places[-1] : end].rstrip("="))
+    begins = [0, *accumulate(len(x) for x in lines)]
+    body, done = "".join(lines), 0
+    for k, line in enumerate(lines):
+        if begins[k] < done or not line.startswith(("M", "b")):
+            continue
+        chars = key_chars(body, begins[k])
+        if chars:
+            done = begins[k] + chars
+            last = bisect_left(begins, done) - 1
+            stop = places[last] + done - begins[last]
+            pad = PADDING[-chars % 4].match(text, stop)
+            yield places[k], pad.end() if pad else stop
+
+
 def keys(text: str) -> list[Span]:
-    found = []
-    for m in BASE64.finditer(text):
-        if m[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")) and (data := unbase64(m[0])) and private_key(data):  # a DER sequence, 0x30, always gives M
-            found.append(m.span())
+    found = [span for m in BASE64.finditer(text) for span in keys_in(text, *m.span())]
     for m in ANY_HEX.finditer(text):
         if m[0][:2] in ("30", "6f", "6F") and private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             found.append(m.span())

@@ -79,6 +79,23 @@ def test_short_keys_of_any_length():
         assert ("key", run) in kinds(f"x {run} y")
 
 
+def test_keys_next_to_lines_of_text():
+    ssh = b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"\0\0\0\1" + b"\0\0\0\7publicA" + b"\0\0\0\x3cB" + b"x" * 59
+    sizes = [der(0x30, der(2, b"\1") + der(4, b"\x07" * n)) for n in range(24, 73)]
+    for key in (rsa(), pkcs8(), ssh, *sizes):
+        run = base64.b64encode(key).decode()
+        for bare in {run, run.rstrip("=")}:
+            for width in (len(bare), 64, 20):
+                for end in ("\n", "\r\n"):
+                    lines = end.join(bare[i : i + width] for i in range(0, len(bare), width))
+                    for before, after in (("key", "Next"), ("", "MORE"), ("My\nMessage\nis", "Next\nMonday"), ("x y", ""), ("MII", "e")):
+                        text = f"{before}{end}{lines}{end}{after}"
+                        assert [t for k, t in kinds(text) if k == "key"] == [lines], text
+    run = base64.b64encode(sizes[0]).decode().rstrip("=")
+    assert [t for k, t in kinds(f"a\n{run}\nand\n{run}\nb") if k == "key"] == [run] * 2
+    assert not any(k == "key" for k, _ in kinds("Mary\n" * 2000 + "MIIB\n" * 2000 + "b3BlbnNzaC1rZXktdjEA\n" * 20))
+
+
 def test_token_headers_with_spaces():
     part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
     for head in (b'{ "alg": "HS256"}', b'{\n  "alg": "HS256"\n}', b'{\r\n"alg":"none"}', b'{\t"alg":"x"}', b' {"alg":"x"}', b'\n{"alg":"x"}', b'\r\n{"alg":"x"}', b'\t{"alg":"x"}'):
