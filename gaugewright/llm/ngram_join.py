@@ -71,7 +71,7 @@ def enough(common: int, n: int, m: int, percent: int = PERCENT) -> bool:
 
 
 def classify(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """Rows (doc_id, class, n) of the documents, and rows (slice, counts) of this partition's part of the sketch."""
+    """Rows (doc_id, hash of the text, class, n) of the documents, and rows (slice, counts) of this partition's part of the sketch."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -81,13 +81,13 @@ def classify(rows: DataFrame, size: int, bits: int) -> DataFrame:
                 sets = list(shingle_sets(b["text"][at : at + 1000], size))
                 counts += np.bincount((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
                 k = len(sets)
-                yield {"doc_id": b["doc_id"][at : at + 1000], "class": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "slice": [None] * k, "counts": [None] * k}
+                yield {"doc_id": b["doc_id"][at : at + 1000], "hash": b["hash"][at : at + 1000], "class": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "slice": [None] * k, "counts": [None] * k}
         parts = counts.reshape(-1, min(SLICE, len(counts)))
         used = np.flatnonzero(parts.any(1))
         nothing = [None] * len(used)
-        yield {"doc_id": nothing, "class": nothing, "n": nothing, "slice": used, "counts": [parts[i].astype("<i8").tobytes() for i in used]}
+        yield {"doc_id": nothing, "hash": nothing, "class": nothing, "n": nothing, "slice": used, "counts": [parts[i].astype("<i8").tobytes() for i in used]}
 
-    return map_batches(rows, run, f"doc_id {kind}, class long, n long, slice int, counts binary")
+    return map_batches(rows.withColumn("hash", F.xxhash64("text")), run, f"doc_id {kind}, hash long, class long, n long, slice int, counts binary")
 
 
 def merged_sketch(parts: DataFrame, bits: int) -> np.ndarray:
@@ -298,15 +298,12 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
     big = found.where("big").select("token", F.col("a").alias("c"), "n", "place").distinct()
 
     involved = found.select(F.col("a").alias("class")).unionByName(found.where("not big").select(F.col("b").alias("class"))).distinct()
-    owners = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("owner")).join(involved, "class").where("owner is not null")
-    joined = docs.join(owners, docs["doc_id"] == owners["owner"]).select("class", "text")
-
-    def own(batches: Iterator[dict]) -> Iterator[dict]:  # rows that share an id may have other texts
-        for b in batches:
-            ok = [class_of(s) == c for s, c in zip(shingle_sets(b["text"], size), b["class"], strict=True)]
-            yield {"class": [c for c, k in zip(b["class"], ok, strict=True) if k], "text": [t for t, k in zip(b["text"], ok, strict=True) if k]}
-
-    texts = cut_here(map_batches(joined, own, "class long, text string"), "texts")
+    owners = sets.where("n > 0").groupBy("class").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("owner"), F.min("hash").alias("any")).join(involved, "class")
+    named = owners.where("owner is not null").select("class", F.col("owner.doc_id").alias("owner"), F.col("owner.hash").alias("of"))
+    joined = docs.join(named, (docs["doc_id"] == named["owner"]) & (F.xxhash64(docs["text"]) == named["of"])).select("class", "text")  # rows that share an id may have other texts
+    nameless = owners.where("owner is null").select("class", F.col("any").alias("of"))
+    single = docs.where("doc_id is null and text is not null").groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"))
+    texts = cut_here(joined.unionByName(single.join(nameless, F.col("hash") == F.col("of")).select("class", "text")), "texts")
     release(spark)
     least = 2 * percent - 100  # below this a member is too far from the pivot to link with any that links with it
     links = []
@@ -346,9 +343,14 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id."""
+    return components_of(docs, id_col, text_col, shingle, percent, bits).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
+    """A row for each document: doc_id, hash of the text, n_shingles, component_id."""
     rows = two_columns(docs, id_col, text_col)
     first = cut(classify(rows, shingle, bits), "sets")
-    sets = first.where("slice is null").select("doc_id", "class", "n")
+    sets = first.where("slice is null").select("doc_id", "hash", "class", "n")
     sketch = merged_sketch(first.where("slice is not null").select("slice", "counts"), bits)
     links, written = links_of(rows, sets, sketch, shingle, percent)
     roots = components(links)
@@ -359,12 +361,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     for table in written:
         drop_cut(table)
     release(docs.sparkSession)
-    full = sets.where("n > 0").join(named, F.col("class") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = sets.where("n > 0").join(named, F.col("class") == F.col("of")).select("doc_id", "hash", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(sets.where("n = 0").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of their component; rows with null ids stay."""
-    found = join(docs, id_col, text_col, shingle, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    """The rows of docs, all columns, whose doc_id is the smallest of their component; rows with null ids stay if their component has no id.
+
+    Rows are removed by id and text: of rows that share an id, each goes by its own component.
+    """
+    found = components_of(docs, id_col, text_col, shingle, percent)
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text_col]) == F.col("gone_hash")), "left_anti")

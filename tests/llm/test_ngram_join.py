@@ -73,6 +73,21 @@ def test_repeats_nulls_empty(documents):
     assert ngram_join.join(documents([])).count() == 0
 
 
+def test_rows_that_share_an_id(documents):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "x"])), (2, "one clean text that is like none of the others"), (3, "a b c d e f g")]
+    assert sorted((r.doc_id, r.text[:3]) for r in ngram_join.keep_one(documents(rows)).collect()) == [(1, "w0 "), (2, "one"), (3, "a b")]
+
+
+def test_null_ids_link(documents):
+    part = lambda k: " ".join(f"w{i}" for i in range(k, k + 100))
+    rows = [(7, part(0)), (None, part(12)), (None, part(12)), (8, part(24)), (None, "q r s t u v"), (None, "other words than all of these here")]
+    frame = documents(rows)
+    got = ngram_join.join(frame).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("7", "7"), ("8", "7"), ("None", "7"), ("None", "7"), ("None", "None"), ("None", "None")]
+    assert sorted((str(r.doc_id), r.text[:1]) for r in ngram_join.keep_one(frame).collect()) == [("7", "w"), ("None", "o"), ("None", "q")]
+
+
 def test_probe_overlaps():
     random = np.random.default_rng(2)
     for _ in range(20):
