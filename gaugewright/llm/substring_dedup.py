@@ -14,8 +14,9 @@ sides.
    repeat of at least WINDOW words.
 
 Words are runs of other characters than ASCII white space. Windows are judged on the input. Earlier
-means in a smaller doc_id (null first), or in the same document further left. Rows with the same doc_id count
-as one document: equal rows get the result of a single one. Null texts have no words; an empty
+means in a smaller doc_id (null first), or in the same document further left. Rows with the same doc_id and
+text count as one document and get the result of a single one; rows that share only the doc_id are
+documents of their own, in the order of a 64-bit hash of their texts. Null texts have no words; an empty
 table gives no rows; columns other than id and text play no part. Nothing is capped, and no pairs of
 occurrences are made.
 """
@@ -65,7 +66,7 @@ def find_anchors(rows: DataFrame, window: int, seed: int, extend: bool) -> DataF
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for start in range(0, len(b["text"]), 1000):
-                ids, counts, parts = b["doc_id"][start : start + 1000], [], {"seed": [], "at": [], "extension": []}
+                ids, texts, counts, parts = b["doc_id"][start : start + 1000], b["hash"][start : start + 1000], [], {"seed": [], "at": [], "extension": []}
                 for hashes in hashed(b["text"][start : start + 1000]):
                     a = Anchors(hashes, window, seed)
                     counts.append(len(a.at))
@@ -73,31 +74,32 @@ def find_anchors(rows: DataFrame, window: int, seed: int, extend: bool) -> DataF
                     parts["at"].append(a.at)
                     if extend:
                         parts["extension"].append(a.extensions(hashes).view(np.int64))
-                yield {"doc_id": repeated(ids, counts)} | {k: np.concatenate(v) for k, v in parts.items() if v}
+                yield {"doc_id": repeated(ids, counts), "hash": repeated(texts, counts)} | {k: np.concatenate(v) for k, v in parts.items() if v}
 
-    return map_batches(rows, run, f"seed long, doc_id {kind}, at int" + ", extension long" * extend)
+    return map_batches(rows, run, f"seed long, doc_id {kind}, hash long, at int" + ", extension long" * extend)
 
 
 def find_windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """Two hashes, doc_id and start of each window whose anchor is in `mixed`."""
+    """Two hashes, doc_id, hash of the text and start of each window whose anchor is in `mixed`."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            ids, counts, parts = [], [], []
-            marked = [x for x in zip(b["doc_id"], b["text"], b["mixed"], strict=True) if x[2]]
-            for (doc, _, mixed), hashes in zip(marked, hashed([x[1] for x in marked]), strict=True):
+            ids, texts, counts, parts = [], [], [], []
+            marked = [x for x in zip(b["doc_id"], b["text"], b["mixed"], b["hash"], strict=True) if x[2]]
+            for (doc, _, mixed, text), hashes in zip(marked, hashed([x[1] for x in marked]), strict=True):
                 if mixed:
                     a = Anchors(hashes, window, seed)
                     some = np.isin(a.at, mixed)
                     starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(a.low[some], a.high[some], strict=True)])
                     ids.append(doc)
+                    texts.append(text)
                     counts.append(len(starts))
                     parts.append((a.runs(starts, starts + window).view(np.int64), Runs(hashes, BASES[1])(starts, starts + window).view(np.int64), starts))
             if parts:
-                yield {"doc_id": repeated(ids, counts)} | {n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("h", "g", "start"))}
+                yield {"doc_id": repeated(ids, counts), "hash": repeated(texts, counts)} | {n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("h", "g", "start"))}
 
-    return map_batches(rows.select("doc_id", "text", "mixed"), run, f"h long, g long, doc_id {kind}, start int")
+    return map_batches(rows.select("doc_id", "hash", "text", "mixed"), run, f"h long, g long, doc_id {kind}, hash long, start int")
 
 
 def cover(n: int, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
@@ -110,22 +112,23 @@ def cover(n: int, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """A row for each document: doc_id, n_words, removed (maximal repeats as word ranges, ends included), kept (what stays, words joined by one space)."""
-    rows = two_columns(docs, id_col, text_col)
+    rows = two_columns(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     seeds = find_anchors(rows, window, seed, True).groupBy("seed").agg(
-        F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("extension").alias("low"), F.max("extension").alias("high")
-    ).where("n > 1").select("seed", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at"), (F.col("low") != F.col("high")).alias("mixed"))
+        F.min(F.struct("doc_id", "hash", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("extension").alias("low"), F.max("extension").alias("high")
+    ).where("n > 1").select("seed", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.at").alias("first_at"), (F.col("low") != F.col("high")).alias("mixed"))
     again = find_anchors(rows, window, seed, False).join(seeds, "seed")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")) & (F.col("at") == F.col("first_at"))
     marks = cut(
-        again.where(F.col("mixed") | ~is_first).groupBy("doc_id").agg(F.collect_list(F.when(F.col("mixed"), F.col("at"))).alias("mixed"), F.collect_list(F.when(~F.col("mixed"), F.col("at"))).alias("whole")),
+        again.where(F.col("mixed") | ~is_first).groupBy("doc_id", "hash").agg(F.collect_list(F.when(F.col("mixed"), F.col("at"))).alias("mixed"), F.collect_list(F.when(~F.col("mixed"), F.col("at"))).alias("whole")),
         "repeats",
     )
-    texts = rows.join(marks.withColumnRenamed("doc_id", "marked"), rows["doc_id"].eqNullSafe(F.col("marked")), "left").drop("marked")
-    earliest = find_windows(texts, window, seed).groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    earliest = earliest.groupBy(F.col("first.doc_id").alias("owner")).agg(F.collect_list("first.start").alias("earliest"))
-    full = texts.join(earliest, texts["doc_id"].eqNullSafe(earliest["owner"]), "left").select("doc_id", "text", "mixed", "whole", "earliest")
+    marks = marks.withColumnsRenamed({"doc_id": "marked", "hash": "of"})
+    texts = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("marked")) & (rows["hash"] == F.col("of")), "left").drop("marked", "of")
+    earliest = find_windows(texts, window, seed).groupBy("h", "g").agg(F.min(F.struct("doc_id", "hash", "start")).alias("first"))
+    earliest = earliest.groupBy(F.col("first.doc_id").alias("owner"), F.col("first.hash").alias("of")).agg(F.collect_list("first.start").alias("earliest"))
+    full = texts.join(earliest, texts["doc_id"].eqNullSafe(earliest["owner"]) & (texts["hash"] == earliest["of"]), "left").select("doc_id", "text", "mixed", "whole", "earliest")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

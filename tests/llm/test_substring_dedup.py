@@ -41,3 +41,12 @@ def test_repeated_rows_null_ids_empty(documents):
     got = substring_dedup.dedup(documents([(1, text), (1, text), (2, text), (None, text + " z")])).collect()
     assert sorted((str(r.doc_id), len(r.kept.split())) for r in got) == [("1", 0), ("1", 0), ("2", 0), ("None", 31)]
     assert substring_dedup.dedup(documents([])).count() == 0
+
+
+def test_rows_that_share_an_id(documents):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, words("a", 30)), (2, words("a", 30)), (2, words("b", 30)), (None, words("c", 25)), (None, words("d", 25)), (3, words("c", 25) + " " + words("d", 25))]
+    got = substring_dedup.dedup(documents(rows)).collect()
+    assert sorted((str(r.doc_id), r.kept[:2], len(r.kept.split())) for r in got) == [("1", "a0", 30), ("2", "", 0), ("2", "b0", 30), ("3", "", 0), ("None", "c0", 25), ("None", "d0", 25)]
+    three = substring_dedup.dedup(documents([(5, f"x{i} " + words("a", 30)) for i in range(3)])).collect()
+    assert sorted(len(r.kept.split()) for r in three) == [1, 1, 31]
