@@ -57,7 +57,12 @@ def release(spark: SparkSession) -> None:
 
 def two_columns(docs: DataFrame, id_col: str = DOC_ID, text_col: str = TEXT) -> DataFrame:
     """Only id and text, under fixed names: other columns, whatever their names, play no part."""
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column of df by its whole name, dots and all."""
+    return df[f"`{name}`"]
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, arrays: bool = False) -> DataFrame:

@@ -15,8 +15,8 @@
    either kind are left out where the places of the shingle rule them out: if it is the first that they
    share, what follows it is all they can share; if it isn't, they meet in the group of the first.
 4. Pairs are verified by probe: the ordered sets of a probe's candidates form a trie, which is walked
-   once; sets that share a path share its overlap, and a subtree ends where the overlap so far and the
-   lengths that remain can't reach the threshold. Texts are fetched once per class that has candidates.
+   once; sets that share a path share its overlap, a set ends where the overlap so far and the length
+   that remains can't reach the threshold, and a subtree where no length could. Texts are fetched once per class that has candidates.
 5. Links make components; each document gets the smallest doc_id of its component.
 
 Words are runs of other characters than ASCII white space, with A-Z in lower case. A text of fewer
@@ -24,7 +24,7 @@ words than a shingle has its whole sequence as its only one; null texts and text
 have the empty set and no links: component_id is their doc_id. Rows that repeat a doc_id count as
 documents of their own with the same id. A null doc_id is the smallest of no component: its row takes
 the smallest id of the others, null if there is none. Empty tables give no rows; columns other than
-id and text play no part. Shingles and classes are compared by 64-bit hashes.
+id and text play no part. Shingles are compared by 64-bit hashes of digests of their words, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import cut, drop_cut, map_batches, release, two_columns
+from gaugewright.llm.common import column, cut, drop_cut, map_batches, release, two_columns
 from gaugewright.llm.components import components
 from gaugewright.llm.words import Runs, hashed
 
@@ -49,17 +49,20 @@ SEEN_CLASSES, TRIE = 500_000, 512
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    for words in hashed(texts, lower=True):
+    for words, _ in hashed(texts, lower=True):
         if not len(words):
             yield words
         elif len(words) < size:
-            yield Runs(words)(np.array([0]), np.array([len(words)])) + np.uint64(len(words))
+            yield Runs(words)(np.array([0]), np.array([len(words)]))
         else:
             yield np.unique(Runs(words).every(size))
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray, taken: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """Two 64-bit numbers of a set; the first is its class unless other sets have `taken` it."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    first, second = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+    return (second, first) if first in taken else (first, second)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -80,14 +83,14 @@ def classify(rows: DataFrame, size: int, bits: int) -> DataFrame:
             for at in range(0, len(b["text"]), 1000):
                 sets = list(shingle_sets(b["text"][at : at + 1000], size))
                 counts += np.bincount((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-                k = len(sets)
-                yield {"doc_id": b["doc_id"][at : at + 1000], "hash": b["hash"][at : at + 1000], "class": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "slice": [None] * k, "counts": [None] * k}
+                k, both = len(sets), [class_of(s) if len(s) else (None, None) for s in sets]
+                yield {"doc_id": b["doc_id"][at : at + 1000], "hash": b["hash"][at : at + 1000], "class": [c for c, _ in both], "other": [c for _, c in both], "n": [len(s) for s in sets], "slice": [None] * k, "counts": [None] * k}
         parts = counts.reshape(-1, min(SLICE, len(counts)))
         used = np.flatnonzero(parts.any(1))
         nothing = [None] * len(used)
-        yield {"doc_id": nothing, "hash": nothing, "class": nothing, "n": nothing, "slice": used, "counts": [parts[i].astype("<i8").tobytes() for i in used]}
+        yield {"doc_id": nothing, "hash": nothing, "class": nothing, "other": nothing, "n": nothing, "slice": used, "counts": [parts[i].astype("<i8").tobytes() for i in used]}
 
-    return map_batches(rows.withColumn("hash", F.xxhash64("text")), run, f"doc_id {kind}, hash long, class long, n long, slice int, counts binary")
+    return map_batches(rows.withColumn("hash", F.xxhash64("text")), run, f"doc_id {kind}, hash long, class long, other long, n long, slice int, counts binary")
 
 
 def merged_sketch(parts: DataFrame, bits: int) -> np.ndarray:
@@ -109,7 +112,7 @@ def ordered(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((shingles, counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]))]
 
 
-def prefixes(rows: DataFrame, sent, limit: int, size: int, percent: int) -> DataFrame:
+def prefixes(rows: DataFrame, sent, limit: int, size: int, percent: int, taken: frozenset[int]) -> DataFrame:
     """(token, salt, class, n, place) for the prefix of each class that a partition has; salt is -1 for groups known to be within the limit."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -118,7 +121,7 @@ def prefixes(rows: DataFrame, sent, limit: int, size: int, percent: int) -> Data
             for at in range(0, len(b["text"]), 1000):
                 tokens, classes, sizes, places = [], [], [], []
                 for s in shingle_sets(b["text"][at : at + 1000], size):
-                    if len(s) and (c := class_of(s)) not in seen:
+                    if len(s) and (c := class_of(s, taken)[0]) not in seen:
                         if len(seen) >= SEEN_CLASSES:
                             seen.clear()
                         seen.add(c)
@@ -202,18 +205,25 @@ class Probe:
         """The overlap with each of the sets (in global order); None where it was found not to reach the percentage."""
         out: list[int | None] = [None] * len(sets)
         path, sums, depth = np.zeros(0, np.uint64), np.zeros(1, np.int64), 0  # the last set, its running overlap, and how far that is known
+        left, whole = None, len(self.probe)  # depth of the node whose subtree was given up
         for k in sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()):
             s = sets[k]
             shared = min(len(path), len(s), depth)
             differ = np.flatnonzero(path[:shared] != s[:shared])
             depth = int(differ[0]) if len(differ) else shared
+            if left is not None and depth >= left:
+                depth = left
+                continue  # path stays: what comes next is compared with the set at which the subtree was given up
+            left = None
             running = np.zeros(len(s) + 1, np.int64)
             running[: depth + 1] = sums[: depth + 1]
             while True:
                 have = int(running[depth])
-                most = have + min(len(s) - depth, len(self.probe) - have)
-                if not enough(min(most, len(s)), len(s), len(self.probe), percent):
-                    break  # and so for every set below this node that is no longer
+                most = have + min(len(s) - depth, whole - have)
+                if not enough(min(most, len(s)), len(s), whole, percent):
+                    if not enough(whole, whole + depth - have, whole, percent):
+                        left = depth  # whatever the length of a set below this node, it misses too much already
+                    break
                 if depth == len(s):
                     out[k] = have
                     break
@@ -281,7 +291,7 @@ def ascending(df: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
     return df.select(one(x, y).alias("a"), one(nx, ny).alias("n"), one(y, x).alias("b"), one(ny, nx).alias("m"))
 
 
-def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, percent: int, taken: frozenset[int]) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): links between classes that have the same components as all links; and the tables written for them."""
     spark, written = docs.sparkSession, []
 
@@ -291,7 +301,7 @@ def links_of(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, size: int, pe
 
     sent = spark.sparkContext.broadcast(sketch)
     limit = int(4 * sketch.mean()) + 64
-    dealt = prefixes(docs, sent, limit, size, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
+    dealt = prefixes(docs, sent, limit, size, percent, taken).repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
     found = cut_here(candidates(dealt, percent), "candidates")
     release(spark)
     pairs = found.where("not big").select("a", "n", "b", "m")
@@ -350,9 +360,14 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, per
     """A row for each document: doc_id, hash of the text, n_shingles, component_id."""
     rows = two_columns(docs, id_col, text_col)
     first = cut(classify(rows, shingle, bits), "sets")
-    sets = first.where("slice is null").select("doc_id", "hash", "class", "n")
+    sets = first.where("slice is null")
+    # different sets that share 64 bits (24 in 3 * 10^10 by chance) take their other 64
+    shared = sets.where("class is not null").groupBy("class").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high")
+    taken = frozenset(r["class"] for r in shared.select("class").toLocalIterator())
+    own = F.when(F.col("class").isin(list(taken)), F.col("other")).otherwise(F.col("class")) if taken else F.col("class")
+    sets = sets.select("doc_id", "hash", own.alias("class"), "n")
     sketch = merged_sketch(first.where("slice is not null").select("slice", "counts"), bits)
-    links, written = links_of(rows, sets, sketch, shingle, percent)
+    links, written = links_of(rows, sets, sketch, shingle, percent, taken)
     roots = components(links)
     low = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     rooted = low.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "low", F.coalesce("root", "class").alias("root"))
@@ -371,5 +386,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows are removed by id and text: of rows that share an id, each goes by its own component.
     """
     found = components_of(docs, id_col, text_col, shingle, percent)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text_col]) == F.col("gone_hash")), "left_anti")
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "hash").distinct()
+    return docs.join(gone, column(docs, id_col).eqNullSafe(gone["doc_id"]) & (F.xxhash64(column(docs, text_col)) == gone["hash"]), "left_anti")

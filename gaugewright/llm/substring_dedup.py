@@ -7,8 +7,8 @@ sides.
 
 1. Anchors are grouped by their seed: the earliest occurrence, and whether all extensions are the
    same. That is a sum over rows, so a seed in any number of documents is combined before the shuffle.
-2. Occurrences of repeated seeds are found by a join on the seed. With one extension only, each
-   occurrence but the earliest is a repeat as a whole. With several, the match is extended to each
+2. Occurrences of repeated seeds are found by a join on the seed (a very frequent one is broadcast and
+   its occurrences spread). With one extension only, each occurrence but the earliest is a repeat as a whole. With several, the match is extended to each
    side as far as windows reach: every window there is grouped by a 128-bit hash of its words.
 3. Words of windows that start earlier elsewhere are removed; what is removed in a row is a maximal
    repeat of at least WINDOW words.
@@ -18,7 +18,8 @@ means in a smaller doc_id (null first), or in the same document further left. Ro
 text count as one document and get the result of a single one; rows that share only the doc_id are
 documents of their own, in the order of a 64-bit hash of their texts. Null texts have no words; an empty
 table gives no rows; columns other than id and text play no part. Nothing is capped, and no pairs of
-occurrences are made.
+occurrences are made: extending each pair of occurrences would grow with the square of a seed's count, so
+matches are extended to all windows of an anchor at once, and equal windows meet by their hashes.
 """
 
 from __future__ import annotations
@@ -29,31 +30,38 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import cut, map_batches, two_columns
-from gaugewright.llm.words import BASES, Runs, hashed, split
+from gaugewright.llm.common import cut, drop_cut, map_batches, two_columns
+from gaugewright.llm.words import Runs, hashed, mix, split
 
 WINDOW, SEED = 20, 8
+#: A seed with more than 1/HEAVY of all occurrences of repeated seeds is split; there are at most that many.
+HEAVY, SPREAD = 1024, 1 << 20
 
 
 class Anchors:
-    """The anchors of a document: seed hash, position, and the first and last window start of each."""
+    """The anchors of a document, from the digests of its words: seed hash, position, and the first and last window start of each."""
 
     def __init__(self, hashes: np.ndarray, window: int, seed: int):
-        self.window, self.runs = window, Runs(hashes)
-        if len(hashes) < window:
+        self.window, self.runs, self.others = window, Runs(hashes[0]), Runs(hashes[1], 1)
+        n = hashes.shape[1]
+        if n < window:
             self.seeds, self.at, self.low, self.high = np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
             return
         grams = self.runs.every(seed)
-        starts = np.arange(len(hashes) - window + 1)
+        starts = np.arange(n - window + 1)
         at = starts + np.lib.stride_tricks.sliding_window_view(grams, window - seed + 1).argmin(1)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         self.at, self.low, self.high = at[first], first, np.append(first[1:], len(starts)) - 1
         self.seeds = grams[self.at]
 
-    def extensions(self, hashes: np.ndarray) -> np.ndarray:
+    def extensions(self) -> np.ndarray:
         """A hash of the words of all windows of each anchor, and of where in them the anchor and the windows are."""
         shape = ((self.at - self.low) * self.window + self.high - self.low).astype(np.uint64)
-        return Runs(hashes, BASES[1])(self.low, self.high + self.window) + shape * np.uint64(BASES[0])
+        return mix(self.others(self.low, self.high + self.window) + mix(shape))
+
+    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows at these starts, from independent digests of their words."""
+        return tuple(r(starts, starts + self.window).view(np.int64) for r in (self.runs, self.others))
 
 
 def repeated(ids: list, counts: list[int]) -> np.ndarray | list:
@@ -73,7 +81,7 @@ def find_anchors(rows: DataFrame, window: int, seed: int, extend: bool) -> DataF
                     parts["seed"].append(a.seeds.view(np.int64))
                     parts["at"].append(a.at)
                     if extend:
-                        parts["extension"].append(a.extensions(hashes).view(np.int64))
+                        parts["extension"].append(a.extensions().view(np.int64))
                 yield {"doc_id": repeated(ids, counts), "hash": repeated(texts, counts)} | {k: np.concatenate(v) for k, v in parts.items() if v}
 
     return map_batches(rows, run, f"seed long, doc_id {kind}, hash long, at int" + ", extension long" * extend)
@@ -95,7 +103,7 @@ def find_windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
                     ids.append(doc)
                     texts.append(text)
                     counts.append(len(starts))
-                    parts.append((a.runs(starts, starts + window).view(np.int64), Runs(hashes, BASES[1])(starts, starts + window).view(np.int64), starts))
+                    parts.append((*a.windows(starts), starts))
             if parts:
                 yield {"doc_id": repeated(ids, counts), "hash": repeated(texts, counts)} | {n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("h", "g", "start"))}
 
@@ -110,20 +118,38 @@ def cover(n: int, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def matched(anchors: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The anchors whose seed is in seeds (seed, n, of), with `of`.
+
+    Seeds with a large share of all occurrences are at most HEAVY, so they are broadcast; their anchors
+    are spread over all tasks of the join, in which every other seed has a small share.
+    """
+    total = seeds.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > F.lit(total)
+    some = anchors.join(F.broadcast(seeds.where(heavy).select("seed", F.col("of").alias("heavy"))), "seed", "left")
+    spread = F.pmod(F.xxhash64("doc_id", "hash", "at"), F.lit(SPREAD)).cast("int") + 1
+    some = some.withColumn("salt", F.when(F.col("heavy").isNotNull(), spread).otherwise(0))
+    out = some.join(seeds.where(~heavy).select("seed", F.lit(0).alias("salt"), "of"), ["seed", "salt"], "left")
+    return out.withColumn("of", F.coalesce("heavy", "of")).where("of is not null").drop("salt", "heavy")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """A row for each document: doc_id, n_words, removed (maximal repeats as word ranges, ends included), kept (what stays, words joined by one space)."""
     rows = two_columns(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    seeds = find_anchors(rows, window, seed, True).groupBy("seed").agg(
+    grouped = find_anchors(rows, window, seed, True).groupBy("seed").agg(
         F.min(F.struct("doc_id", "hash", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("extension").alias("low"), F.max("extension").alias("high")
-    ).where("n > 1").select("seed", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.at").alias("first_at"), (F.col("low") != F.col("high")).alias("mixed"))
-    again = find_anchors(rows, window, seed, False).join(seeds, "seed")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")) & (F.col("at") == F.col("first_at"))
+    ).where("n > 1")
+    seeds = cut(grouped.select("seed", "n", F.struct("first", (F.col("low") != F.col("high")).alias("mixed")).alias("of")), "seeds")
+    found = matched(find_anchors(rows, window, seed, False), seeds).select("doc_id", "hash", "at", "of.first", "of.mixed")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("at") == F.col("first.at"))
+    # sets: rows that repeat an id and its text give the same places
     marks = cut(
-        again.where(F.col("mixed") | ~is_first).groupBy("doc_id", "hash").agg(F.collect_list(F.when(F.col("mixed"), F.col("at"))).alias("mixed"), F.collect_list(F.when(~F.col("mixed"), F.col("at"))).alias("whole")),
+        found.where(F.col("mixed") | ~is_first).groupBy("doc_id", "hash").agg(F.collect_set(F.when(F.col("mixed"), F.col("at"))).alias("mixed"), F.collect_set(F.when(~F.col("mixed"), F.col("at"))).alias("whole")),
         "repeats",
     )
+    drop_cut(seeds)
     marks = marks.withColumnsRenamed({"doc_id": "marked", "hash": "of"})
     texts = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("marked")) & (rows["hash"] == F.col("of")), "left").drop("marked", "of")
     earliest = find_windows(texts, window, seed).groupBy("h", "g").agg(F.min(F.struct("doc_id", "hash", "start")).alias("first"))

@@ -1,18 +1,24 @@
-"""64-bit hashes of words and of runs of words, in numpy, for many texts at once."""
+"""Words of texts as 128-bit digests, and hashes of runs of consecutive words, for many texts at once.
+
+A word's digest is that of its bytes, so no arithmetic relation between words (repeats, swaps, lengths)
+makes two of them alike. Runs are hashed by mixing halves, not by a sum over places, for the same reason.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+from xxhash import xxh3_128_digest
 
-#: Odd multipliers, so that they have inverses modulo 2^64; different ones make hashes that don't depend on one another.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-BYTES = np.arange(1, 257).astype(np.uint64)
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)]).astype(np.uint64) + np.uint64(1)
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: Bytes of text that are hashed together.
-BLOCK = 1 << 20
+#: Odd multipliers of the two halves of a run, and of its length; different ones for the two streams of hashes.
+KEYS = (
+    (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)),
+    (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)),
+)
+#: Words whose digests are taken together.
+BLOCK = 1 << 18
 
 
 def split(text: str | None) -> list[bytes]:
@@ -28,46 +34,54 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of any run of consecutive numbers, from one pass over them: sums of number * base^place, moved to place 0."""
+    """Hashes of runs of consecutive numbers.
+
+    A run of 2^k numbers mixes the hashes of its halves; any other mixes those of the two runs of the
+    largest 2^k that cover it, and its length.
+    """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, numbers: np.ndarray, stream: int = 0):
+        self.levels, self.keys = [numbers], KEYS[stream]
 
-    def __init__(self, numbers: np.ndarray, base: int = BASES[0]):
-        up, self.down = self.powers(base, len(numbers) + 1)
-        self.sums = np.zeros(len(numbers) + 1, np.uint64)
-        np.cumsum(numbers * up[: len(numbers)], out=self.sums[1:])
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(mix(last[:-half] * self.keys[0] + last[half:] * self.keys[1]))
+        return self.levels[k]
 
-    @classmethod
-    def powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """base^i and base^-i modulo 2^64."""
-        if base not in cls._powers or len(cls._powers[base][0]) < n:
-            size = max(1 << 12, n + n // 4)
-            cls._powers[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b % (1 << 64), np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-        return cls._powers[base]
+    def covered(self, k: int, start, end, size) -> np.ndarray:
+        """Hash of runs from start to end, whose length is at least 2^k and at most twice that."""
+        x = self.level(k)
+        return mix(x[start] * self.keys[0] + x[end] * self.keys[1] + np.asarray(size, np.uint64) * self.keys[2])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each run from start up to but not including end."""
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        """Hash of each run from start up to but not including end; no run is empty."""
+        size = end - start
+        out, power = np.zeros(len(size), np.uint64), np.frexp(size)[1] - 1
+        for k in np.unique(power).tolist():
+            some = power == k
+            out[some] = self.covered(k, start[some], end[some] - (1 << k), size[some])
+        return out
 
     def every(self, size: int) -> np.ndarray:
-        """Hash of each run of `size`."""
-        starts = np.arange(len(self.sums) - size)
-        return self(starts, starts + size)
+        """Hash of each run of `size`, of which there is one at least."""
+        k = size.bit_length() - 1
+        n = len(self.levels[0]) - size + 1
+        return self.covered(k, slice(0, n), slice(size - (1 << k), size - (1 << k) + n), size)
 
 
 def hashed(texts: list[str | None], lower: bool = False) -> Iterator[np.ndarray]:
-    """For each text the hashes of its words in order. lower takes A-Z as a-z."""
+    """For each text the digests of its words in order, as two rows of 64 bits. lower takes A-Z as a-z."""
     at = 0
     while at < len(texts):
         block, size = [], 0
         while at < len(texts) and (not block or size < BLOCK):
-            block.append(texts[at].encode("utf-8", "surrogatepass") if texts[at] else b"")
-            size += len(block[-1]) + 1
+            data = texts[at].encode("utf-8", "surrogatepass") if texts[at] else b""
+            block.append((data.lower() if lower else data).split())
+            size += len(block[-1])
             at += 1
-        data = np.frombuffer(b" " + b" ".join(block) + b" ", np.uint8)
-        edge = np.flatnonzero(np.diff(SPACE[data].astype(np.int8)))
-        start, end = edge[::2] + 1, edge[1::2] + 1
-        words = Runs((LOWER if lower else BYTES)[data], BASES[2])(start, end)
-        bounds = np.searchsorted(start, np.cumsum([1] + [len(b) + 1 for b in block]))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield words[a:b]
+        found = np.frombuffer(b"".join(map(xxh3_128_digest, chain.from_iterable(block))), "<u8").reshape(-1, 2).T.copy()
+        start = 0
+        for words in block:
+            yield found[:, start : start + len(words)]
+            start += len(words)

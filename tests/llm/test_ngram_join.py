@@ -104,3 +104,31 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert [got[x] for x in (1, 2, 3, 10, 11, 4, 5, 9, 140, 539)] == [1, 1, 1, 10, 10, 4, 4, 4, 100, 500]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_opposite_words(documents, n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    texts = [*words, *[" ".join([w, "c", "d", "e", "f", w]) for w in words], *[" ".join(["xy"[b if k else 1 - b] for b in bits]) for k in (0, 1)]]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(texts)).collect()} == brute(texts)
+
+
+def test_sets_that_share_half_a_digest(documents, monkeypatch):
+    whole = ngram_join.class_of
+
+    def weak(shingles, taken=frozenset()):
+        first, second = (x % 8 for x in whole(shingles)), whole(shingles)[1]
+        first = next(first)
+        return (second, first) if first in taken else (first, second)
+
+    monkeypatch.setattr(ngram_join, "class_of", weak)
+    texts = [" ".join(f"{k}w{i}" for i in range(30)) for k in range(20)] * 2
+    got = ngram_join.join(documents(texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts)
+
+
+def test_a_very_long_text(documents):
+    long = [f"w{i}" for i in range(60_000)]
+    texts = [" ".join(long), " ".join([*long, "z"]), " ".join(long[:20_000])]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(texts)).collect()} == brute(texts)

@@ -50,3 +50,25 @@ def test_rows_that_share_an_id(documents):
     assert sorted((str(r.doc_id), r.kept[:2], len(r.kept.split())) for r in got) == [("1", "a0", 30), ("2", "", 0), ("2", "b0", 30), ("3", "", 0), ("None", "c0", 25), ("None", "d0", 25)]
     three = substring_dedup.dedup(documents([(5, f"x{i} " + words("a", 30)) for i in range(3)])).collect()
     assert sorted(len(r.kept.split()) for r in three) == [1, 1, 31]
+
+
+def opposite(n):
+    """Two words of n letters that sums over places can't tell apart: a Thue-Morse word and the one with its letters swapped."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_opposite_words_and_runs(documents, n):
+    one, two = opposite(n)
+    rows = list(enumerate([" ".join([w] * 25) + f" {w}x {w}y" for w in (one, two)] + [" ".join(x) for x in opposite(n)]))
+    got = substring_dedup.dedup(documents(rows), window=20).collect()
+    assert {r.doc_id: (r.n_words, r.kept, sum(x["last"] - x["first"] + 1 for x in r.removed)) for r in got} == brute(rows, 20)
+
+
+def test_frequent_seed_and_a_very_long_text(documents, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", 3)
+    line = [f"l{i}" for i in range(30)]
+    texts = [" ".join([f"u{k}", *line, f"v{k}"]) for k in range(40)] + [" ".join(f"w{i % 5000}" for i in range(60_000)), " ".join(f"r{i}" for i in range(40))] * 2
+    got = substring_dedup.dedup(documents(texts)).collect()
+    assert {r.doc_id: (r.n_words, r.kept, sum(x["last"] - x["first"] + 1 for x in r.removed)) for r in got} == brute(list(enumerate(texts)), 20)
