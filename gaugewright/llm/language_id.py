@@ -7,7 +7,8 @@ byte positions. Piece probabilities come from expectation maximisation with forw
 A text's score for a language is the sum of its words' log probabilities plus the log share of the
 language; the prediction is the best one and `score` its posterior probability.
 
-Words are runs of letters in lower case; long ones are read in stretches of STRETCH bytes. Fitting uses at most
+Words are runs of letters in lower case, of any length: those of up to WHOLE bytes are summed many at
+once, longer ones one by one with rescaling. Every piece of the vocabulary counts. Fitting uses at most
 SAMPLE rows of each language, spread by a hash of the id. Null texts and texts without a letter are
 `und` with score 0, and so is everything when nothing could be learned. Ties go to the language first
 in order. Rows with null lang or id teach nothing. Texts of any length are scored whole; repeated rows
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.llm.common import fold, map_batches, spread_sample, two_columns
-from gaugewright.llm.words import BASES, BYTES, Runs, mix
+from gaugewright.llm.words import mix
 
 SAMPLE, ROUNDS = 400, 3
-PIECE_BYTES, STRETCH, FLOOR = 12, 32, 1e-8
+WHOLE, CHUNK, RESCALE, FLOOR = 32, 4096, 8, 1e-8
 CACHED_WORDS = 500_000
 NONE = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,10 +47,10 @@ def vocabulary_path() -> str:
 
 
 def read_pieces(path: str) -> Pieces:
-    """Piece -> number; only pieces short enough to be looked for."""
+    """Piece -> number, of all pieces of the vocabulary and all single bytes."""
     with open(path, "rb") as lines:
-        found = sorted(p for p in (base64.b64decode(line.split()[0]) for line in lines) if len(p) <= PIECE_BYTES)
-    return Pieces(sorted({*found, *(bytes([b]) for b in range(256))}))
+        found = {base64.b64decode(line.split()[0]) for line in lines}
+    return Pieces(sorted(found | {bytes([b]) for b in range(256)}))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,10 +58,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(TO_LETTERS).split() if text else []
 
 
-def stretches(run: bytes) -> list[bytes]:
+def letters_of(run: bytes) -> list[bytes]:
     """The words of a run, as bytes to segment."""
     words = [run] if run.isascii() else [w.encode("utf-8") for w in LETTERS.findall(run.decode("utf-8", "replace"))]
-    return [data[i : i + STRETCH] for data in (b" " + w for w in words) for i in range(0, len(data), STRETCH)]
+    return [b" " + w for w in words]
+
+
+NOTHING = np.uint64(0x9E3779B97F4A7C15)
+BYTE_KEYS = mix(np.arange(1, 257).astype(np.uint64))
+
+
+def longer(hashes: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs that are one byte longer."""
+    out = (hashes ^ BYTE_KEYS[data]) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 class Pieces(dict):
@@ -70,7 +81,14 @@ class Pieces(dict):
 
     def __init__(self, found: list[bytes]):
         super().__init__((p, i) for i, p in enumerate(found))
-        self.hashes = np.array([*(int(Runs(BYTES[np.frombuffer(p, np.uint8)])(np.array([0]), np.array([len(p)]))[0]) for p in found), 0], np.uint64)
+        self.hashes, self.bytes = np.zeros(len(found) + 1, np.uint64), max(map(len, found), default=1)
+        lengths = np.array([len(p) for p in found])
+        for n in np.unique(lengths).tolist():
+            some = np.flatnonzero(lengths == n)
+            data, h = np.frombuffer(b"".join(found[i] for i in some), np.uint8).reshape(-1, n), np.full(len(some), NOTHING)
+            for k in range(n):
+                h = longer(h, data[:, k])
+            self.hashes[some] = h
         self.first = np.full(1 << self.SLOTS, len(found), np.int32)
         self.next = np.full(len(found) + 1, len(found), np.int32)
         self.longest = 1
@@ -88,19 +106,27 @@ class Pieces(dict):
             at = np.where(self.hashes[at] == hashes, at, self.next[at])
         return np.where(self.hashes[at] == hashes, at, len(self))
 
+    def starting(self, data: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Numbers of the pieces of each length (columns) that start at each place from low to high (rows)."""
+        out, h = np.full((high - low, self.bytes), len(self)), np.full(high - low, NOTHING)
+        for k in range(min(self.bytes, len(data) - low)):
+            n = min(high, len(data) - k) - low
+            h[:n] = longer(h[:n], data[low + k : low + k + n])
+            out[:n, k] = self.numbers(h[:n])
+        return out
+
 
 class Lattice:
     """All segmentations of words of one length: for each start and end, the number of the piece between (or the last number, which has probability 0)."""
 
     def __init__(self, words: list[bytes], pieces: Pieces):
-        self.n, none = len(words[0]), len(pieces)
-        up, down = Runs.powers(BASES[0], self.n + 1)
-        sums = np.zeros((self.n + 1, len(words)), np.uint64)
-        np.cumsum(BYTES[np.frombuffer(b"".join(words), np.uint8).reshape(-1, self.n).T] * up[: self.n, None], 0, out=sums[1:])
-        self.arcs = []
-        for j in range(1, self.n + 1):
-            for i in range(max(0, j - PIECE_BYTES), j):
-                ids = pieces.numbers(mix((sums[j] - sums[i]) * down[i]))
+        self.n, none, self.arcs = len(words[0]), len(pieces), []
+        data = np.frombuffer(b"".join(words), np.uint8).reshape(-1, self.n).T
+        for i in range(self.n):
+            h = np.full(len(words), NOTHING)
+            for j in range(i + 1, min(self.n, i + pieces.bytes) + 1):
+                h = longer(h, data[j - 1])
+                ids = pieces.numbers(h)
                 if (ids != none).any():
                     self.arcs.append((i, j, ids))
 
@@ -112,6 +138,9 @@ class Lattice:
             a[j] += a[i] * p[ids]
         return a
 
+    def log_total(self, p: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(self.forward(p)[self.n], 1e-300))
+
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, given how often each language has each word."""
         a = self.forward(p)
@@ -127,13 +156,69 @@ class Lattice:
         return out
 
 
+class Long:
+    """All segmentations of one word of any length, with probabilities as numbers times powers of e."""
+
+    def __init__(self, words: list[bytes], pieces: Pieces):
+        (word,) = words
+        self.data, self.pieces = np.frombuffer(word, np.uint8), pieces
+
+    def chunks(self, p: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each place, the numbers of the pieces that start there, and their probabilities."""
+        n = len(self.data)
+        places = range(0, n, CHUNK)
+        for low in reversed(places) if back else places:
+            ids = self.pieces.starting(self.data, low, min(n, low + CHUNK))
+            chances = p[ids]
+            for k in range(len(ids) - 1, -1, -1) if back else range(len(ids)):
+                yield low + k, ids[k], chances[k]
+
+    def forward(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each place up to the end, the probability of the bytes before it: a number and the logarithm of what it is times."""
+        now, logs, later = np.ones(p.shape[1]), np.zeros(p.shape[1]), np.zeros((self.pieces.bytes, p.shape[1]))
+        yield now, logs
+        for i, _, chances in self.chunks(p):
+            later += now * chances
+            now = later[0].copy()
+            later[:-1] = later[1:]
+            later[-1] = 0
+            if i % RESCALE == RESCALE - 1:
+                logs, later, now = logs + np.log(now), later / now, np.ones_like(now)
+            yield now, logs
+
+    def log_total(self, p: np.ndarray) -> np.ndarray:
+        for now, logs in self.forward(p):
+            pass
+        return (np.log(now) + logs)[None]
+
+    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        before = [np.log(now) + logs for now, logs in self.forward(p)]
+        out, times = np.zeros_like(p), counts.reshape(-1)
+        after, logs = np.zeros((self.pieces.bytes, p.shape[1])), np.zeros(p.shape[1])
+        after[0] = 1
+        for i, ids, chances in self.chunks(p, True):
+            ways = chances * after  # of the bytes from i on, by the first piece
+            np.add.at(out, ids, ways * np.exp(before[i] + logs - before[-1]) * times)
+            after[1:] = after[:-1].copy()
+            after[0] = ways.sum(0)
+            if i % RESCALE == 0:
+                logs, after = logs + np.log(after[0]), after / after[0]
+        return out
+
+
+def lattice_of(words: list[bytes], pieces: Pieces) -> Lattice | Long:
+    return (Lattice if len(words[0]) <= WHOLE else Long)(words, pieces)
+
+
 def by_length(words: list[bytes]) -> Iterator[list[int]]:
+    """Places of words of one length, long words one by one."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
     for g in groups.values():
-        for at in range(0, len(g), 20_000):
-            yield g[at : at + 20_000]
+        size = 20_000 if len(words[g[0]]) <= WHOLE else 1
+        for at in range(0, len(g), size):
+            yield g[at : at + size]
 
 
 @dataclass
@@ -147,8 +232,7 @@ class Model:
     def log_words(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
         for group in by_length(words):
-            lattice = Lattice([words[i] for i in group], self.pieces)
-            out[group] = np.log(np.maximum(lattice.forward(self.p)[lattice.n], 1e-300))
+            out[group] = lattice_of([words[i] for i in group], self.pieces).log_total(self.p)
         return out
 
 
@@ -158,7 +242,7 @@ def train(counts: dict[str, Counter], share: dict[str, float], path: str, rounds
     pieces = read_pieces(path)
     words = sorted({w for c in counts.values() for w in c})
     table = np.array([[counts[k][w] for k in languages] for w in words], float).reshape(len(words), len(languages))
-    lattices = [(Lattice([words[i] for i in g], pieces), table[g]) for g in by_length(words)]
+    lattices = [(lattice_of([words[i] for i in g], pieces), table[g]) for g in by_length(words)]
     single = np.array([len(q) == 1 for q in sorted(pieces, key=pieces.get)] + [False])
     p = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
     p[-1] = 0
@@ -182,7 +266,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 for run, n in Counter(words_of(text)).items():
-                    for w in stretches(run):
+                    for w in letters_of(run):
                         found[lang][w] += n
         for lang, c in found.items():
             yield {"lang": [lang] * len(c), "word": list(c), "n": list(c.values())}
@@ -201,7 +285,7 @@ class Scorer:
         self.model, self.known, self.logs = model, {}, np.zeros((1, len(model.languages)))
 
     def learn(self, runs: list[bytes]) -> None:
-        parts = [stretches(r) for r in runs]
+        parts = [letters_of(r) for r in runs]
         words = list({w for p in parts for w in p})
         logs, at = self.model.log_words(words), {w: i for i, w in enumerate(words)}
         said = [(r, p) for r, p in zip(runs, parts, strict=True) if p]
