@@ -30,17 +30,24 @@ class Rows:
     def __init__(self, indices: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.lengths = np.array([len(i) for i in indices], np.int64)
         self.indices = np.concatenate(indices) if len(indices) else np.zeros(0, np.int64)
-        self.values = np.ones(len(self.indices)) if values is None else np.concatenate(values) if len(values) else np.zeros(0)
-        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        #: None: all are 1
+        self.values = None if values is None else np.concatenate(values) if len(values) else np.zeros(0)
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
     def __len__(self) -> int:
         return len(self.lengths)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.values * w[self.indices], len(self))
+        ends, terms = np.cumsum(self.lengths), w[self.indices] if self.values is None else self.values * w[self.indices]
+        sums = np.concatenate([np.zeros(1), np.cumsum(terms, dtype=float)])
+        return sums[ends] - sums[ends - self.lengths]
 
     def transposed_times(self, d: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.indices, self.values * d[self.row], size)
+        each = np.repeat(d, self.lengths)
+        return np.bincount(self.indices, each if self.values is None else self.values * each, size)
 
 
 class Adam:
