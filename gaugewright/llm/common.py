@@ -6,12 +6,15 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_ID, TEXT = "doc_id", "text"
+#: Tables that cut() wrote, for scratch().
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,17 +36,39 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gaugewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Remove the folder of a table that cut() wrote and nothing reads any more."""
+    """Remove the folder of a table, as cut() gave it, that nothing reads any more."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/gaugewright/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that cut() writes inside are removed at the end, but for the last one when it is given to keep()."""
+    held = _written[:]
+    _written.clear()
+
+    def keep(df: DataFrame) -> DataFrame:
+        _written.pop()
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _written:
+            remove(spark, path)
+        _written[:] = held
 
 
 def release(spark: SparkSession) -> None:
