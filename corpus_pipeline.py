@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewright.llm import decontaminate, exact_dedup, ngram_join, packing, quality
-from gaugewright.llm.common import cut
+from gaugewright.llm.common import cut, drop_cut, scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:  # what a stage wrote on its way goes when its result is written
+            docs = keep(cut(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,16 +16,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import cut, map_batches, two_columns
+from gaugewright.llm.common import column, cut, map_batches, two_columns
 
 #: Counters in a summary: winners and candidates are this many at most.
 COUNTERS = 256
 #: Summaries meet in this many groups before the driver merges one summary of each.
 MERGERS = 64
+#: A filter of repeated digests has at most 2^BLOOM_BITS bits (32 MB), in maps of BITMAP.
+BLOOM_BITS, PROBES, BITMAP = 28, 4, 32_768
 
 
 def text_digest(text: Column) -> Column:
@@ -90,20 +93,45 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     digests = cut(rows.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
     split = digests.join(F.broadcast(winners(digests, k)), "digest", "left")
     loser = F.col("heavy_n").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("heavy_id"))
-    same = Window.partitionBy("digest")
-    rest = split.where(~loser).select(
-        "doc_id", "digest",
-        F.coalesce("heavy_id", F.min("doc_id").over(same)).alias("keep_id"),
-        F.coalesce("heavy_n", F.count(F.lit(1)).over(same)).alias("group_size"),
-        (F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())) == 1).alias("kept"),
+    rest = split.where(~loser).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.first("heavy_id").alias("heavy_id"), F.first("heavy_n").alias("heavy_n"))
+    # counts and minima are combined before the shuffle; rows that share id and text come out again one by one
+    groups = rest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.sum("copies").alias("size"))
+    rest = rest.join(groups, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rest = rest.select(
+        "doc_id", "digest", F.coalesce("heavy_id", "least").alias("keep_id"), F.coalesce("heavy_n", "size").alias("group_size"),
+        (F.col("doc_id").eqNullSafe(F.coalesce("heavy_id", "least")) & (F.col("nth") == 1)).alias("kept"),
     )
     return split.where(loser).select("doc_id", "digest", F.col("heavy_id").alias("keep_id"), F.col("heavy_n").alias("group_size"), F.lit(False).alias("kept")).unionByName(rest)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The rows of docs, all columns, that stay: one of each text."""
+def repeated_bits(digests: DataFrame, most: int) -> np.ndarray:
+    """A Bloom filter, as bits, of the digests that occur more than once. It has 2^`most` bits at most: a filter that is too small lets more through, never less."""
+    repeated = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    size = 1 << min(most, max(BITMAP.bit_length() - 1, (repeated.count() * 12).bit_length()))
+    places = repeated.select(F.explode(bloom_places(F.col("digest"), size)).alias("place"))
+    maps = places.groupBy(F.floor(F.col("place") / BITMAP).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BITMAP))).alias("bits"))
+    out = np.zeros(size // 8, np.uint8).reshape(-1, BITMAP // 8)
+    for at, bits in maps.toLocalIterator():
+        out[at] = np.frombuffer(bytes(bits), np.uint8)
+    return out.ravel()
+
+
+def bloom_places(digest: Column, size: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(size)) for i in range(PROBES)])
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS, bits: int = BLOOM_BITS) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each text. Only texts whose digest may occur again, by a Bloom filter, are shuffled."""
     digests = cut(two_columns(docs, id_col, text_col).select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), text_digest(docs[text_col]).alias("digest"))
-    light = row.join(F.broadcast(winners(digests, k)), "digest", "left").where(F.col("heavy_n").isNull() | F.col("doc_id").eqNullSafe(F.col("heavy_id")))
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_bits(digests, bits))
+
+    @F.pandas_udf("boolean")
+    def perhaps_repeated(places: pd.Series) -> pd.Series:
+        at = np.array(places.tolist(), np.int64).reshape(len(places), -1)
+        return pd.Series(((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1))
+
+    row = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), column(docs, id_col).alias("doc_id"), text_digest(column(docs, text_col)).alias("digest"))
+    row = row.withColumn("perhaps", perhaps_repeated(bloom_places(F.col("digest"), len(sent.value) * 8)))
+    light = row.where("perhaps").join(F.broadcast(winners(digests, k)), "digest", "left").where(F.col("heavy_n").isNull() | F.col("doc_id").eqNullSafe(F.col("heavy_id")))
     first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last()))
-    return light.withColumn("nth", first).where("nth = 1").select("row.*")
+    return row.where("not perhaps").select("row.*").unionByName(light.withColumn("nth", first).where("nth = 1").select("row.*"))

@@ -25,10 +25,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import fold, map_batches, spread_sample
+from gaugewright.llm.common import column, fold, map_batches, spread_sample
 from gaugewright.llm.features import PLAIN, Adam, Rows, collect_sample, raw, sigmoid
 
 BUCKETS, FACTORS, BINS = 1 << 15, 8, 10
@@ -110,8 +110,12 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 0)
 
 
 def chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    size = docs["n_chars"].cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), size.alias("n_chars"))
+    return docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), declared(docs).alias("n_chars"))
+
+
+def declared(docs: DataFrame) -> Column:
+    """n_chars as a whole number; null where it is none or absent."""
+    return docs["n_chars"].try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
@@ -167,5 +171,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def quality(texts: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series(run([None if t is None else t for t in texts], [None if pd.isna(n) else int(n) for n in sizes]))
 
-    size = docs["n_chars"].cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.where(quality(docs[text_col], size) >= threshold)
+    return docs.where(quality(column(docs, text_col), declared(docs)) >= threshold)
