@@ -50,8 +50,8 @@ class Anchors:
         grams = self.runs.every(seed)
         starts = np.arange(n - window + 1)
         at = starts + np.lib.stride_tricks.sliding_window_view(grams, window - seed + 1).argmin(1)
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        self.at, self.low, self.high = at[first], first, np.append(first[1:], len(starts)) - 1
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        self.at, self.low, self.high = at[first], first, np.concatenate([first[1:], [len(starts)]]) - 1
         self.seeds = grams[self.at]
 
     def extensions(self) -> np.ndarray:

@@ -18,7 +18,7 @@ KEYS = (
     (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)),
 )
 #: Words whose digests are taken together.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 def split(text: str | None) -> list[bytes]:
@@ -28,16 +28,19 @@ def split(text: str | None) -> list[bytes]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that leaves no order."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Runs:
-    """Hashes of runs of consecutive numbers.
+    """Hashes of runs of consecutive numbers, which are digests.
 
-    A run of 2^k numbers mixes the hashes of its halves; any other mixes those of the two runs of the
-    largest 2^k that cover it, and its length.
+    A run of 2^k numbers is made of its halves, one folded before it is multiplied; any run mixes those of
+    the two runs of the largest 2^k that cover it, and its length.
     """
 
     def __init__(self, numbers: np.ndarray, stream: int = 0):
@@ -46,17 +49,28 @@ class Runs:
     def level(self, k: int) -> np.ndarray:
         while len(self.levels) <= k:
             last, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(mix(last[:-half] * self.keys[0] + last[half:] * self.keys[1]))
+            out = last[:-half] >> np.uint64(32)
+            out ^= last[:-half]
+            out *= self.keys[0]
+            out += last[half:] * self.keys[1]
+            self.levels.append(out)
         return self.levels[k]
 
     def covered(self, k: int, start, end, size) -> np.ndarray:
         """Hash of runs from start to end, whose length is at least 2^k and at most twice that."""
         x = self.level(k)
+        if isinstance(size, int) and size == 1 << k:
+            return mix(x[start])
         return mix(x[start] * self.keys[0] + x[end] * self.keys[1] + np.asarray(size, np.uint64) * self.keys[2])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each run from start up to but not including end; no run is empty."""
         size = end - start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        least = int(size.min()).bit_length() - 1
+        if int(size.max()) >> least == 1:
+            return self.covered(least, start, end - (1 << least), size)
         out, power = np.zeros(len(size), np.uint64), np.frexp(size)[1] - 1
         for k in np.unique(power).tolist():
             some = power == k
