@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import col, corr, js_divergence, ratio
 from gaugewright.operators.pca import fit as fit_pca
+from gaugewright.operators.ranks import quantiles, unpivoted
 from gaugewright.operators.train import regression_metrics
 
 
@@ -39,8 +40,10 @@ def agreement(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def naive_baselines(df: DataFrame, label: str) -> DataFrame:
     """MAE of always guessing the mean or the median."""
-    got = df.agg(F.avg(col(label)).alias("mean"), F.percentile(col(label), 0.5).alias("median"))
-    return df.crossJoin(F.broadcast(got)).agg(F.avg(F.abs(col(label) - F.col("mean"))).alias("mean_mae"), F.avg(F.abs(col(label) - F.col("median"))).alias("median_mae"))  # a single row
+    middle = quantiles(unpivoted(df, {label: col(label)}), [0.5]).get(label)
+    median = F.lit(middle[1][0] if middle else None).cast("double")
+    got = df.agg(F.avg(col(label)).alias("mean"))
+    return df.crossJoin(F.broadcast(got)).agg(F.avg(F.abs(col(label) - F.col("mean"))).alias("mean_mae"), F.avg(F.abs(col(label) - median)).alias("median_mae"))  # a single row
 
 
 def bootstrap_mae(df: DataFrame, label: str, prediction: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
@@ -58,6 +61,18 @@ def bootstrap_mae(df: DataFrame, label: str, prediction: str, resamples: int = 1
     return maes.agg(F.percentile("mae", 0.025).alias("low"), F.avg("mae").alias("mae"), F.percentile("mae", 0.975).alias("high"))
 
 
+def value_counts(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+
+
+def describe(df: DataFrame, name: str) -> DataFrame:
+    """count, mean, std (n - 1), min, quartiles, max and the distance of the quartiles."""
+    x = col(name)
+    _, (q25, q50, q75) = quantiles(unpivoted(df, {name: x}), (0.25, 0.5, 0.75)).get(name, (0, [None] * 3))
+    value = lambda v: F.lit(v).cast("double")
+    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).select("count", "mean", "std", "min", value(q25).alias("q25"), value(q50).alias("q50"), value(q75).alias("q75"), "max", (value(q75) - value(q25)).alias("iqr"))
+
+
 def low_quality(df: DataFrame, label: str = "label", mpr: str = "mpr") -> DataFrame:
     return df.where((col(label) < 0.5) & (col(mpr) <= 0.95))
 

@@ -1,24 +1,35 @@
-"""Baselines learned from data: each learner is one or two aggregations and gives a DataFrame.
+"""Baselines learned from data: each learner is a few aggregations and gives a DataFrame.
 
-Quantiles are exact (linear interpolation). Learners that need a minimum of samples give NULL below it.
+Quantiles are exact (linear interpolation); over whole tables they are looked for by ranks.quantiles, so
+no task holds all values. Learners that need a minimum of samples give NULL below it.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import col, corr, decimals, micros, number, ratio, seconds_between
-from gaugewright.operators.ranks import previous
+from gaugewright.operators.checks import entity_key
+from gaugewright.operators.ranks import previous, quantiles, unpivoted
 
 
-def band(x: Column, least: int = 0) -> list[Column]:
-    """q25, q50, q75 and n of a column."""
-    n = F.count(x)
-    return [F.when(n >= least, F.percentile(x, q)).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))] + [n.alias("n")]
+def bands(df: DataFrame, columns: dict[str, Column], least: int = 0) -> dict[str, dict[str, float | int | None]]:
+    """q25, q50, q75 and n of each named column."""
+    found = quantiles(unpivoted(df, columns), (0.25, 0.5, 0.75))
+    return {name: dict(zip(("q25", "q50", "q75"), q if n >= max(least, 1) else [None] * 3, strict=True)) | {"n": n} for name in columns for n, q in [found.get(name, (0, []))]}
+
+
+def band(df: DataFrame, x: Column, least: int = 0) -> DataFrame:
+    """q25, q50, q75 and n of a column, as one row."""
+    return one_row(df, bands(df, {"x": x}, least)["x"], "q25 double, q50 double, q75 double, n long")
+
+
+def one_row(df: DataFrame, values: Mapping, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([tuple(values.values())], schema)
 
 
 def unpivot(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -30,18 +41,21 @@ def unpivot(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) ->
 def statistics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """AGG-16: mean, std (n - 1), MAD, percentiles, min, max, count per metric. MAD takes a second pass."""
     long = unpivot(df, metrics).where("value is not null")
-    v = F.col("value")
-    first = long.groupBy("metric").agg(
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), *[F.percentile(v, q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count")
-    )
-    deviation = long.join(F.broadcast(first.select("metric", "p50")), "metric").groupBy("metric").agg(F.percentile(F.abs(v - F.col("p50")), 0.5).alias("mad"))  # a row for each metric
-    return first.join(deviation, "metric")
+    v, shares = F.col("value"), (5, 25, 50, 75, 95)
+    found = quantiles(long.select(F.col("metric").alias("key"), "value"), [q / 100 for q in shares])
+    middle = {m: q[2] for m, (_, q) in found.items()}
+    apart = quantiles(unpivoted(df, {m: F.abs(number(col(m)) - F.lit(x)) for m, x in middle.items()}), [0.5]) if middle else {}
+    learned = df.sparkSession.createDataFrame([(m, *q, apart[m][1][0]) for m, (_, q) in found.items()], "metric string, " + ", ".join(f"p{q} double" for q in shares) + ", mad double")
+    first = long.groupBy("metric").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"))
+    return first.join(F.broadcast(learned), "metric")  # a row for each metric
 
 
 def field_ranges(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """AGG-22: min, max, p01, p99, median, count per metric."""
-    v = F.col("value")
-    return unpivot(df, metrics).groupBy("metric").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.01).alias("p01"), F.percentile(v, 0.99).alias("p99"), F.percentile(v, 0.5).alias("median"), F.count(v).alias("count"))
+    v, long = F.col("value"), unpivot(df, metrics)
+    found = quantiles(long.select(F.col("metric").alias("key"), "value"), (0.01, 0.99, 0.5))
+    learned = df.sparkSession.createDataFrame([(m, *q) for m, (_, q) in found.items()], "metric string, p01 double, p99 double, median double")
+    return long.groupBy("metric").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count")).join(F.broadcast(learned), "metric", "left")  # a row for each metric
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 50, discrete: bool = False) -> DataFrame:
@@ -67,7 +81,7 @@ def zero_rate_band(df: DataFrame, metric: str, by: str, among_rows: bool = True)
     """AGG-19/20: share of zeros per entity or time, then its quartiles over those. The share is of all rows; entities with only NULLs are left out."""
     x = number(col(metric))
     each = df.groupBy(col(by).alias("_by")).agg((F.count_if(x == 0) / (F.count(F.lit(1)) if among_rows else F.count(x))).alias("rate"), F.count(x).alias("some")).where("some > 0")
-    return each.agg(*band(F.col("rate")))
+    return band(each, F.col("rate"))
 
 
 def correlation(df: DataFrame, x: str, y: str, least: int = 11) -> DataFrame:
@@ -81,7 +95,7 @@ def correlation_band(df: DataFrame, x: str, y: str, entity: str, least: int = 30
     """AGG-21: Pearson r per entity of `least` pairs or more, then its quartiles."""
     a, b = number(col(x)), number(col(y))
     n = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
-    return df.groupBy(col(entity)).agg(F.when(n >= least, corr(a, b)).alias("r")).agg(*band(F.col("r")))
+    return band(df.groupBy(col(entity)).agg(F.when(n >= least, corr(a, b)).alias("r")), F.col("r"))
 
 
 def hourly_template(df: DataFrame, ts: str, entity: str, default_median: float, default_iqr: float) -> DataFrame:
@@ -102,7 +116,10 @@ def gaps(streams: Sequence[tuple[DataFrame, str]]) -> DataFrame:
 
 def cadence(streams: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """AGG-24: cadence (median gap) and resolution (least positive gap) in seconds."""
-    return gaps(streams).agg(F.percentile("gap", 0.5).alias("cadence"), F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("resolution"))
+    found = gaps(streams)
+    middle = quantiles(found.select(F.lit("gap").alias("key"), F.col("gap").alias("value")), [0.5]).get("gap")
+    least = found.agg(F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("resolution"))
+    return least.select(F.lit(middle[1][0] if middle else None).cast("double").alias("cadence"), "resolution")
 
 
 def printed_decimals(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -114,30 +131,39 @@ def printed_decimals(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def energy_power_band(df: DataFrame, interval: str, power: str, entity: str, ts: str, flags: Sequence[str] = (), least: int = 30) -> DataFrame:
     """AGG-26: quartiles of interval energy over power times the time since the entity's row before."""
-    hours = seconds_between(col(ts), F.lag(col(ts)).over(Window.partitionBy(col(entity)).orderBy(col(ts)))) / 3600
+    before = F.lag(col(ts)).over(Window.partitionBy(*entity_key(entity, ts)).orderBy(col(ts)))
+    hours = seconds_between(col(ts), F.when(col(entity).isNotNull(), before)) / 3600
     r = df.withColumn("_r", ratio(number(col(interval)), number(col(power)) / 1000 * hours))
     for f in flags:
         r = r.withColumn("_r", F.when(~F.coalesce(col(f), F.lit(False)), F.col("_r")))
-    return r.agg(*band(F.col("_r"), least))
+    return band(r, F.col("_r"), least)
 
 
 def ratio_band(ratios: DataFrame, value: str = "ratio", least: int = 30) -> DataFrame:
     """AGG-27: quartiles of reconciled ratios."""
-    return ratios.agg(*band(F.col(value), least))
+    return band(ratios, F.col(value), least)
 
 
 def learned_slack(residual: Column, df: DataFrame, least: int = 30, most: int = 3) -> DataFrame:
     """AGG-28: p95 of positive residuals, rounded up, between 0 and `most`; 0 with too few samples."""
     r = df.select(residual.alias("_r"))
-    p95 = F.percentile(F.when(F.col("_r") > 0, F.col("_r")), 0.95)
-    slack = F.when(F.count("_r") >= least, F.least(F.greatest(F.ceil(F.coalesce(p95, F.lit(0.0))), F.lit(0)), F.lit(most))).otherwise(0)
-    return r.agg(slack.cast("long").alias("slack"), F.count("_r").alias("n"))
+    slack = slacks(r, {"x": F.col("_r")}, least, most)["x"]
+    return r.agg(F.lit(slack).cast("long").alias("slack"), F.count("_r").alias("n"))
+
+
+def slacks(df: DataFrame, residuals: dict[str, Column], least: int = 30, most: int = 3) -> dict[str, int]:
+    """AGG-28 for several residuals: p95 of the positive ones, rounded up, between 0 and `most`; 0 with too few samples."""
+    n = df.agg(*[F.count(r).alias(f"n{i}") for i, r in enumerate(residuals.values())]).first()
+    p95 = quantiles(unpivoted(df, {name: F.when(r > 0, r) for name, r in residuals.items()}), [0.95])
+    return {name: int(min(max(math.ceil(p95[name][1][0]), 0), most)) if n[i] >= least and name in p95 else 0 for i, name in enumerate(residuals)}
 
 
 def percentile_by_band(df: DataFrame, value: Column, by: str, q: float = 0.99, least: int = 30) -> DataFrame:
     """AGG-30: a percentile for each band and over all (band NULL), in one pass."""
     rows = df.select(value.alias("_v"), col(by).alias("band")).where("_v is not null and band is not null")
-    return rows.rollup("band").agg(F.when(F.count("_v") >= least, F.percentile("_v", q)).alias("p"), F.count("_v").alias("n"))
+    long = rows.select(F.explode(F.array(F.col("band").cast("string"), F.lit(None).cast("string"))).alias("key"), F.col("_v").alias("value"))
+    found = quantiles(long, [q])
+    return df.sparkSession.createDataFrame([(k, p if n >= least else None, n) for k, (n, (p,)) in found.items()] or [(None, None, 0)], "band string, p double, n long")
 
 
 def peak_hours(df: DataFrame, ts: str, load: str, q: float = 0.7) -> DataFrame:
@@ -174,6 +200,3 @@ def range_learned(document: Mapping, name: str) -> bool:
     r = (document or {}).get(name) or {}
     return r.get("min") is not None and r.get("max") is not None
 
-
-def to_json(document: Mapping) -> str:
-    return json.dumps(document, indent=2, default=str)

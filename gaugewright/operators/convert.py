@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import col, extract, missing, number, seconds_between
+from gaugewright.operators.checks import entity_key
 
 
 def percent_to_absolute(df: DataFrame, percent: str, available: str, out: str, flag: str | None = None) -> DataFrame:
@@ -17,7 +18,7 @@ def percent_to_absolute(df: DataFrame, percent: str, available: str, out: str, f
 
 def previous(value: Column, entity: str, order: list[str]) -> Column:
     """The entity's value one row before; rows without an entity have none."""
-    before = F.lag(value).over(Window.partitionBy(col(entity)).orderBy(*[col(o) for o in order]))
+    before = F.lag(value).over(Window.partitionBy(*entity_key(entity, order[0])).orderBy(*[col(o) for o in order]))
     return F.when(col(entity).isNotNull(), before)
 
 
@@ -65,14 +66,15 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({n: missing(col(n)) for n, kind in df.dtypes if kind in ("float", "double")})
 
 
-def convert_cells(df: DataFrame, entity: str, ts: str, cadence: float = 60, percent: bool = True, energy: bool = True, flows: bool = True) -> DataFrame:
+def convert_cells(df: DataFrame, entity: str, ts: str, cadence: float = 60, percent: bool = True, energy: bool = True, flows: bool = True, tiebreak: str | None = None) -> DataFrame:
     """The conversions of a cell report, each behind its switch; columns that aren't there are passed over."""
     df = no_nan(df)
     for side in ("Dl", "Ul"):
         if percent and {f"RRU.PrbTot{side}", f"RRU.PrbAvail{side}"} <= set(df.columns):
             df = percent_to_absolute(df, f"RRU.PrbTot{side}", f"RRU.PrbAvail{side}", f"RRU.PrbTot{side}_abs", "prb_conversion_applied")
     if energy and "PEE.Energy" in df.columns:
-        df = cumulative_to_interval(df, "PEE.Energy", entity, ts, cadence, "PEE.AvgPower", "PEE.Energy_interval").withColumn("energy_conversion_applied", F.lit(True))
+        df = cumulative_to_interval(df, "PEE.Energy", entity, ts, cadence, "PEE.AvgPower", "PEE.Energy_interval", tiebreak).withColumn("energy_conversion_applied", F.lit(True))
+        df = df.withColumnsRenamed({f"PEE.Energy_interval_{x}": f"PEE.Energy_{x}" for x in ("reset", "imputed", "expected")})
     if flows and any(c.startswith("QosFlow.") for c in df.columns):
         df = df.withColumn("qos_flow_1s_semantics", F.lit(True))
     return df

@@ -63,6 +63,7 @@ def updates(df: DataFrame, kind: Column, where: Column, rules: Mapping[str, Mapp
     return df.withColumns(made)
 
 
+#: What each kind of fault does to a report.
 def cell_rules(entity: str = "Viavi.Cell.Name") -> dict[str, dict[str, Column]]:
     null, sides = F.lit(None), ("Dl", "Ul")
     rules: dict[str, dict[str, Column]] = {entity: {"missing": null}, "PEE.AvgPower": {"inconsistent": number(col("PEE.AvgPower")) * 0.6}, "RRC.ConnMean": {"missing": null, "inconsistent": F.lit(3)}}
@@ -145,7 +146,11 @@ def inject(df: DataFrame, ts: str, keys: Sequence[str], windows: DataFrame, star
 def duplicate_with_faults(df: DataFrame, keys: Sequence[str], share: float, seed: int, rules: Mapping[str, Mapping[str, Column]]) -> DataFrame:
     """The table and faulty copies of a share of its rows."""
     key = F.concat_ws("|", *[col(k).cast("string") for k in keys])
-    copies = df.where(draw(seed, "copy", key) < share).withColumn("fault_type", pick(draw(seed, "kind", key), KINDS))
+    return with_copies(df, df.where(draw(seed, "copy", key) < share).withColumn("fault_type", pick(draw(seed, "kind", key), KINDS)), rules)
+
+
+def with_copies(df: DataFrame, copies: DataFrame, rules: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """The table and given copies of its rows, changed by the rules of their fault_type."""
     return df.withColumn("fault_type", F.lit(None).cast("string")).unionByName(updates(copies, F.col("fault_type"), F.lit(True), rules))
 
 

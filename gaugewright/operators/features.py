@@ -95,6 +95,11 @@ def feature_columns() -> list[str]:
     return out + [f"cell_{m}_{x}" for m in CELL_METRICS for x in stats] + [f"ue_{m}_{x}" for m in UE_METRICS for x in stats] + ["label", "window_id"]
 
 
+def difference(have: Sequence[str], expected: Sequence[str]) -> dict[str, list[str]]:
+    """Columns that are missing, and those that nothing asks for."""
+    return {"missing": [c for c in expected if c not in have], "extra": [c for c in have if c not in expected]}
+
+
 def align(df: DataFrame, columns: Sequence[str], fill: float = 0.0) -> DataFrame:
     """Exactly these columns in this order; only columns that aren't there are filled, NULLs stay."""
     return df.select(*[col(c).alias(c) if c in df.columns else F.lit(fill).alias(c) for c in columns])
@@ -105,7 +110,7 @@ def feature_rows(cells: DataFrame, ues: DataFrame, windows: DataFrame, cadence_s
     from gaugewright.operators.checks import grid_alignment, reconcile
 
     key, cell, ue, ts = ["window_number"], "Viavi.Cell.Name", "Viavi.UE.Name", "timestamp"
-    cells = energy_residuals(with_gaps(duplicates(cells, [*key, cell, ts]), key, ts, cell), key, "PEE.Energy_interval", "PEE.AvgPower", ts, cell)
+    cells = energy_residuals(with_gaps(duplicates(cells, [*key, cell, ts]), key, ts, cell), key, "PEE.Energy", "PEE.AvgPower", ts, cell)
     ues = with_gaps(duplicates(ues, [*key, ue, ts]), key, ts, ue)
     has = lambda df, names: [m for m in names if m in df.columns]
     numeric = lambda df: [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint") and c not in ("window_number", "gap", "energy_resid")]

@@ -57,20 +57,11 @@ def history(scored: DataFrame, score: str, order: str, keys: Sequence[str] = ())
     return scored.groupBy(*keys).agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.max_by(s, F.col(order)).alias("last"))
 
 
-#: Below which share a check counts as a reason, and its name.
-REASONS = {
-    "T1": (0.8, "T1_interarrival_issues"), "T2": (0.7, "T2_grid_misalignment"), "T3": (1.0, "T3_order_violations"),
-    "C1": (0.7, "C1_missing_mandatory"), "C2": (0.6, "C2_missing_entities"), "C3": (0.6, "C3_time_gaps"), "C4": (0.8, "C4_sparse_fields"),
-    "V3": (0.9, "V3_usage_violations"), "V4": (0.9, "V4_rule_violations"), "CS1": (0.9, "CS1_intra_record"), "A2": (0.9, "A2_cap_exceeded"),
-}
-
-
-def reasons(shares: dict[str, Column], limits: dict[str, tuple[float, str]] | None = None) -> Column:
-    """Names of the checks whose share is below its limit."""
-    limits = limits or REASONS
-    return F.array_compact(F.array(*[F.when(share < limits[k][0], F.lit(limits[k][1])) for k, share in shares.items() if k in limits]))
-
-
 def reason_counts(df: DataFrame, dimension: str, reason_list: str) -> DataFrame:
     """Counts by dimension and reason, with totals (NULL) of each level."""
     return df.select(dimension, F.explode(reason_list).alias("reason")).rollup(dimension, "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_reasons(df: DataFrame, reason_list: str, k: int) -> DataFrame:
+    """The k commonest reasons: reason, n; ties by name."""
+    return df.select(F.explode(reason_list).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(k)

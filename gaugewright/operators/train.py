@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import os
+import time
 from collections.abc import Sequence
+from pathlib import Path
+from random import Random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -13,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import clip, col, number
-from gaugewright.operators.ranks import row_numbers
+from gaugewright.operators.ranks import quantiles, row_numbers, unpivoted
 from gaugewright.operators.windows import ordinal
 
 
@@ -35,8 +40,8 @@ def usable_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
 def impute_and_scale(df: DataFrame, names: Sequence[str], part: Column | None = None) -> DataFrame:
     """Median for NULL, then z-scores (population), both learned where `part` holds. As columns z_<name>."""
     learn = part if part is not None else F.lit(True)
-    medians = df.agg(*[F.percentile(F.when(learn, number(col(n))), 0.5).alias(f"q{i}") for i, n in enumerate(names)])
-    filled = df.crossJoin(F.broadcast(medians)).withColumns({f"_f{i}": F.coalesce(number(col(n)), F.col(f"q{i}")) for i, n in enumerate(names)})  # a single row
+    medians = quantiles(unpivoted(df, {n: F.when(learn, number(col(n))) for n in names}), [0.5])
+    filled = df.withColumns({f"_f{i}": F.coalesce(number(col(n)), F.lit(medians[n][1][0] if n in medians else None).cast("double")) for i, n in enumerate(names)})
     moments = filled.agg(*[f(F.when(learn, F.col(f"_f{i}"))).alias(f"{k}{i}") for i in range(len(names)) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     out = filled.crossJoin(F.broadcast(moments))  # a single row
     z = {f"z_{n}": (F.col(f"_f{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) for i, n in enumerate(names)}
@@ -48,9 +53,19 @@ def regression_metrics(truth: Column, guess: Column) -> list[Column]:
     return [F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), (1 - F.try_divide(F.sum(error * error), F.var_pop(F.when(guess.isNotNull(), truth)) * F.count(error))).alias("r2")]
 
 
-def pipeline(names: Sequence[str], label: str = "label", depth: int = 5, rounds: int = 50, step: float = 0.1, seed: int = 0) -> Pipeline:
+def drawn(trials: int, seed: int) -> list[dict]:
+    """Parameters of trials, by the seed. Their ranges."""
+    random = Random(seed)
+    return [
+        {"depth": random.randint(3, 6), "step": random.uniform(0.01, 0.3), "rounds": random.randrange(100, 601, 50), "rows": random.uniform(0.6, 1.0), "columns": random.uniform(0.6, 1.0), "gain": math.exp(random.uniform(math.log(1e-8), 0)) * 1e-3, "seed": seed}
+        for _ in range(trials)
+    ]
+
+
+def pipeline(names: Sequence[str], label: str = "label", depth: int = 5, rounds: int = 50, step: float = 0.1, seed: int = 0, rows: float = 1.0, columns: float = 1.0, gain: float = 0.0, stop_column: str | None = None) -> Pipeline:
+    """Imputing, scaling and boosted trees. With a column of rows to validate on, boosting stops when they get no better."""
     safe = [f"f{i}" for i in range(len(names))]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=safe, outputCols=[f"i{i}" for i in range(len(names))]), VectorAssembler(inputCols=[f"i{i}" for i in range(len(names))], outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features"), GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed)])
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=safe, outputCols=[f"i{i}" for i in range(len(names))]), VectorAssembler(inputCols=[f"i{i}" for i in range(len(names))], outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features"), GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, subsamplingRate=rows, featureSubsetStrategy=str(columns) if columns < 1 else "all", minInfoGain=gain, validationIndicatorCol=stop_column, validationTol=1e-4)])
 
 
 def renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -74,6 +89,20 @@ class Predictor:
 
         SparkSession.getActiveSession().createDataFrame([(json.dumps({"names": self.names, "meta": self.meta}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
+    def publish(self, root: str, version: str = "v1", window_seconds: int | None = None, stamp: str | None = None) -> str:
+        """Save under <root>/<version>/<time>_<fingerprint>, never over another, and let `latest` (and latest_<seconds>s) point there."""
+        print_ = hashlib.md5(json.dumps([self.names, self.meta], default=str, sort_keys=True).encode()).hexdigest()[:10]
+        path = Path(root) / version / f"{stamp or time.strftime('%Y%m%d_%H%M%S', time.gmtime())}_{print_}"
+        self.save(str(path))
+        for name in ("latest", *([f"latest_{window_seconds}s"] if window_seconds else [])):
+            link = Path(root) / name
+            link.unlink(missing_ok=True)
+            link.symlink_to(path.relative_to(root))
+        return str(path)
+
+    def info(self) -> dict:
+        return {"features": len(self.names), "names": self.names, "metrics": self.meta}
+
     @staticmethod
     def load(path: str) -> Predictor:
         from pyspark.sql import SparkSession
@@ -82,13 +111,14 @@ class Predictor:
         return Predictor(PipelineModel.load(f"{path}/pipeline"), saved["names"], saved["meta"])
 
 
-def fit(df: DataFrame, names: Sequence[str], label: str = "label", order: Sequence[str] = ("window_end", "window_start"), candidates: Sequence[dict] = ({"depth": 4}, {"depth": 5}), target: float = 0.05) -> Predictor:
-    """Search over candidates until one's MAE on the later part is at most the target; the best one wins."""
-    split = time_split(df, order)
+def fit(df: DataFrame, names: Sequence[str], label: str = "label", order: Sequence[str] = ("window_end", "window_start"), candidates: Sequence[dict] | None = None, target: float = 0.05, trials: int = 50, seed: int = 42, tiebreak: str | None = None) -> Predictor:
+    """Try candidates (`trials` of them drawn by the seed, unless they are given) until one's MAE on the later part is at most the target; the best one wins."""
+    candidates = drawn(trials, seed) if candidates is None else candidates
+    split = time_split(df, order, tiebreak=tiebreak)
     names = usable_columns(split.where("part = 'train'"), names)
     best = None
     for given in candidates:
-        model = pipeline(names, label, **given).fit(renamed(split.where("part = 'train'"), names))
+        model = pipeline(names, label, stop_column="_later", **given).fit(renamed(split, names).withColumn("_later", F.col("part") == "test"))
         got = Predictor(model, names).predict(split.where("part = 'test'")).agg(*regression_metrics(col(label), F.col("prediction"))).first().asDict()
         if best is None or (got["mae"] or 9) < best.meta["mae"]:
             best = Predictor(model, names, got | {"parameters": given})

@@ -53,15 +53,24 @@ def assign(df: DataFrame, ts: str, start: int, end: int, size: int, step: int) -
 def metadata(assigned: DataFrame, windows: DataFrame, ts: str, entity: str, expected: int, minimum: float = 0.8, prefix: str = "") -> DataFrame:
     """Rows, entities, distinct times, completeness and validity of every window; empty windows have zeros."""
     named = lambda n: f"{prefix}{n}"
-    found = assigned.groupBy("window_number").agg(F.count(F.lit(1)).alias(named("rows")), F.countDistinct(col(entity)).alias(named("entities")), F.countDistinct(col(ts)).alias(named("ticks")))
+    # distinct times: as many as fit into a window at the data's resolution
+    found = assigned.groupBy("window_number").agg(F.count(F.lit(1)).alias(named("rows")), F.countDistinct(col(entity)).alias(named("entities")), F.array_sort(F.collect_set(col(ts))).alias(named("times")))
+    found = found.withColumn(named("ticks"), F.size(named("times")).cast("long"))
     out = windows.join(found, "window_number", "left")
     for n in ("rows", "entities", "ticks"):
         out = out.withColumn(named(n), F.coalesce(named(n), F.lit(0)))
+    out = out.withColumn(named("times"), F.coalesce(named("times"), F.array().cast(found.schema[named("times")].dataType)))
     need = int(minimum * expected)
     reason = F.when(F.col(named("rows")) == 0, "empty").when(F.col(named("ticks")) < need, "incomplete")
     return out.withColumn(named("completeness"), F.col(named("ticks")) / F.lit(float(expected))).withColumn(named("valid"), reason.isNull()).withColumn(named("reason"), reason)
 
 
+def complete(cell_ticks: Column, ue_ticks: Column, expected: int, minimum: float = 0.8) -> Column:
+    """Whether each stream that has any times has enough of them, and one has some."""
+    enough = lambda c: (c == 0) | (c >= int(minimum * expected))
+    return enough(cell_ticks) & enough(ue_ticks) & (cell_ticks + ue_ticks > 0)
+
+
 def statistics(windows: DataFrame, completeness: str = "completeness", rows: str = "rows") -> DataFrame:
     """One row over all windows."""
     c, r = F.col(completeness), F.col(rows)
@@ -80,11 +89,11 @@ def even_stride(df: DataFrame, order: str, n: int) -> DataFrame:
     return row_numbers(df, ordinal(df, order), out="_n").where((at % step == 0) & (at < step * n)).drop("_n")
 
 
-def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The rows at n evenly spaced places from first to last of their order (a number or a time)."""
+def evenly_spaced(df: DataFrame, order: str, n: int, tiebreak: str | None = None) -> DataFrame:
+    """The rows at n evenly spaced places from first to last of their order (a number or a time), ties by the tiebreak."""
     total = df.count()
     places = sorted({int(i * (total - 1) / max(1, n - 1)) for i in range(min(n, total))})
-    return row_numbers(df, ordinal(df, order), out="_n").where((F.col("_n") - 1).isin(places)).drop("_n")
+    return row_numbers(df, ordinal(df, order), [tiebreak] if tiebreak else [], "_n").where((F.col("_n") - 1).isin(places)).drop("_n")
 
 
 def ordinal(df: DataFrame, name: str) -> Column:

@@ -544,17 +544,6 @@ def ablation_runs(spark, sf):
     return rounded(analysis.ablation(five_dimensions(spark, sf).select("window_number", *[F.col(f"{d}_mpr").alias(d) for d in FIVE]), FIVE))
 
 
-@query(f"""
-WITH {FIVE_SQL}, r AS (SELECT 'timeliness' AS dimension, 'T1_interarrival_issues' AS reason FROM five WHERE timeliness < 0.8 UNION ALL SELECT 'completeness', 'C1_missing_mandatory' FROM five WHERE completeness < 0.7
- UNION ALL SELECT 'validity', 'V3_usage_violations' FROM five WHERE validity < 0.9 UNION ALL SELECT 'consistency', 'CS1_intra_record' FROM five WHERE consistency < 0.9 UNION ALL SELECT 'accuracy', 'A2_cap_exceeded' FROM five WHERE accuracy < 0.9)
-SELECT dimension, reason, count(*) AS n FROM r GROUP BY ROLLUP (dimension, reason)""")
-def reason_codes_rollup(spark, sf):
-    first = dict(zip(FIVE, ("T1", "C1", "V3", "CS1", "A2"), strict=True))
-    scored = five_dimensions(spark, sf)
-    long = scored.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), score.reasons({first[d]: F.col(f"{d}_mpr")}).alias("reasons")) for d in FIVE])).alias("x")).select("x.*")
-    return score.reason_counts(long, "dimension", "reasons")
-
-
 @query(f"WITH {FIVE_SQL} (SELECT window_number, round(validity, 6) AS validity, 'best' AS which FROM five ORDER BY validity DESC, window_number LIMIT 3) UNION ALL (SELECT window_number, round(validity, 6), 'worst' FROM five ORDER BY validity, window_number LIMIT 3)")
 def topk_windows(spark, sf):
     v = five_dimensions(spark, sf).select("window_number", F.col("validity_mpr").alias("validity"))
@@ -691,13 +680,59 @@ def stream_sliding_equals_batch(spark, sf):
     return out.select(us("window_start").alias("window_start_us"), "n", r6("total", 4).alias("total"), "users")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def message_text(kind: str, ts: Column, info: str, body: list) -> Column:
+    """The text of a report message: {metadata, indicationMessage-<kind>: {measInfoList, ...}}."""
+    return F.concat(F.lit('{"metadata":{"event_ts_ms":'), F.unix_millis(ts).cast("string"), F.lit('},"indicationMessage-' + kind + '":{"measInfoList":' + info + ","), *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in body], F.lit("}}"))
+
+
+def framed(number: Column, body: Column) -> Column:
+    """In four framings by turns: bare, with a length in front, with noise behind, one document a line."""
+    text = body.cast("binary")
+    turns = [text, F.concat(F.unhex(F.lit("00000102")), text), F.concat(body, F.lit(" \n~~")).cast("binary")]
+    out = F.concat(F.lit("{not json}\n"), body).cast("binary")
+    for i, made in enumerate(turns):
+        out = F.when(number % 4 == i, made).otherwise(out)
+    return out
+
+
+CELL_NAMES = '[{"measType":{"measName":"RRC.ConnMean"}},{"measType":{"measTypeName":"RRU.PrbUsedDl"}},{"measType":{}},{"measType":{"measName":"unknown"}},{"measType":{"measName":"DRB.UEThpDl"}},{"measType":{"measName":"PEE.Energy"}}]'
+
+
+@query("""
+WITH e AS (SELECT event_id, epoch_us(ts) // 1000 * 1000 AS us, user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_id % 31 <> 0 AND event_id % 37 <> 0)
+SELECT event_id, part, us AS ts_us, CASE part WHEN 0 THEN 'S' || (user_id % 9) || '/B2/C1' END AS name, CASE part WHEN 0 THEN 'B2' END AS band, CASE part WHEN 0 THEN k ELSE 7 END AS conn_mean, CASE part WHEN 0 THEN round(value, 2) ELSE 0 END AS used, CASE part WHEN 0 THEN CAST(2.5 AS DOUBLE) END AS thp FROM e, (VALUES (0), (1)) AS p(part)""")
 def kafka_payload_decode(spark, sf):
-    """Events as cell messages in four framings (bare, with a length in front, noise behind, one document a line), decoded again."""
+    """Cell messages as they are sent, in four framings, some unreadable or without a time: one record of objects, one of bare numbers with fewer values than names."""
     from gaugewright.streaming import decode
 
     ev = events(spark, sf)
-    body = F.concat(F.lit('{"metadata":{"event_ts_ms":'), F.unix_millis("ts").cast("string"), F.lit('},"cell_id":"S1/B2/C1","measInfoList":[{"measTypeName":"RRC.ConnMean"},{"measType":{"measName":"other"}}],"measData":[{"measRecord":[{"integer":'), F.col("k").cast("bigint").cast("string"), F.lit("},{\"real\":1.5},{\"real\":9}]}]}"))
-    framed = F.when(F.col("event_id") % 4 == 0, body.cast("binary")).when(F.col("event_id") % 4 == 1, F.concat(F.unhex(F.lit("00000102")), body.cast("binary"))).when(F.col("event_id") % 4 == 2, F.concat(body, F.lit(" \n")).cast("binary")).otherwise(F.concat(F.lit("{not json}\n"), body).cast("binary"))
-    messages = ev.select("event_id", framed.alias("value"))
-    return decode.cell_rows(decode.decode(messages), ["event_id"]).select("event_id", E.col("RRC.ConnMean").alias("k"))
+    name = F.concat(F.lit("S"), F.col("user_id") % 9, F.lit("/B2/C1"))
+    body = message_text("Format1", F.col("ts"), CELL_NAMES, ['"measData":[{"metadata":{"cell_name":"', name, '","band":"B2"},"measRecord":[{"integer":', F.col("k").cast("bigint"), '},{"real":', F.round("value", 2), '},{"real":9},{"real":0.0,"integer":0,"measValue":2.5}]},{"measRecord":[7,null]}]'])
+    body = F.when(F.col("event_id") % 37 == 0, F.replace(body, F.lit("event_ts_ms"), F.lit("other"))).otherwise(body)
+    value = F.when(F.col("event_id") % 31 == 0, F.unhex(F.lit("7BFF7D"))).otherwise(framed(F.col("event_id"), body))
+    rows = decode.cell_rows(decode.decode(ev.select("event_id", value.alias("value"))), ["event_id"])
+    return rows.select("event_id", F.when(E.col("Viavi.Cell.Name").isNull(), 1).otherwise(0).alias("part"), us("timestamp").alias("ts_us"), E.col("Viavi.Cell.Name").alias("name"), "band", E.col("RRC.ConnMean").alias("conn_mean"), E.col("RRU.PrbUsedDl").alias("used"), E.col("DRB.UEThpDl").alias("thp"))
+
+
+@query("""
+SELECT event_id, epoch_us(ts) // 1000 * 1000 AS ts_us, 'UE' || (user_id % 7) AS name, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS cqi, round(value, 2) AS thp FROM events WHERE event_id % 29 <> 0""")
+def ue_payload_decode(spark, sf):
+    """UE messages: the records of several reports, one after another; messages without a body give nothing."""
+    from gaugewright.streaming import decode
+
+    ev = events(spark, sf)
+    info = '[{"measType":{"measName":"DRB.UECqiDl"}},{"measType":{"measName":"DRB.UEThpUl"}}]'
+    body = message_text("Format3", F.col("ts"), info, ['"ueMeasData":[{"ueID":{"gNB-UEID":{"amf-UE-NGAP-ID":"UE', F.col("user_id") % 7, '"}},"measReport":{"measReportList":[{"measRecord":[', F.col("k").cast("bigint"), ']},{"measRecord":[{"real":', F.round("value", 2), "}]}]}}]"])
+    body = F.when(F.col("event_id") % 29 == 0, F.concat(F.lit('{"metadata":{"event_ts_ms":'), F.col("event_id").cast("string"), F.lit("}}"))).otherwise(body)
+    rows = decode.ue_rows(decode.decode(ev.select("event_id", framed(F.col("event_id"), body).alias("value"))), ["event_id"])
+    return rows.select("event_id", us("timestamp").alias("ts_us"), E.col("Viavi.UE.Name").alias("name"), E.col("DRB.UECqiDl").alias("cqi"), E.col("DRB.UEThpUl").alias("thp"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 31 = 0 THEN 'unreadable' ELSE 'no event time' END AS problem FROM events WHERE event_id % 31 = 0 OR event_id % 37 = 0")
+def dead_letters(spark, sf):
+    """Messages that can't be read, or have no event time."""
+    from gaugewright.streaming import decode
+
+    body = F.when(F.col("event_id") % 37 == 0, F.lit('{"metadata":{}}')).otherwise(F.lit('{"metadata":{"event_ts_ms":1}}'))
+    value = F.when(F.col("event_id") % 31 == 0, F.unhex(F.lit("7BFF7D"))).otherwise(framed(F.col("event_id"), body))
+    return decode.dead_letters(events(spark, sf).select("event_id", value.alias("value"))).select("event_id", "problem")

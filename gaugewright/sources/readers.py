@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ CELL_FIELDS = (
 )
 UE_FIELDS = ("DRB.UECqiDl", "DRB.UECqiUl", "DRB.UEThpDl", "DRB.UEThpUl", "RRU.PrbUsedDl", "RRU.PrbUsedUl", "TB.TotNbrDl", "TB.TotNbrUl")
 CELL, UE = "Viavi.Cell.Name", "Viavi.UE.Name"
+CELL_PATTERN = r"S\d+/([^/]+)/C\d+"
 #: Metric groups of the checks; operators take them as arguments.
 GROUPS = {
     "prb": ("RRU.PrbUsedDl", "RRU.PrbUsedUl", "RRU.PrbAvailDl", "RRU.PrbAvailUl", "RRU.PrbTotDl", "RRU.PrbTotUl"),
@@ -58,10 +60,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def windows(spark: SparkSession, root: str, window_ids: Sequence[str] | None = None) -> DataFrame:
-    """A dataset of windows; ids prune partitions."""
-    df = spark.read.parquet(root)
-    return df.where(F.col("window_id").isin(list(window_ids))) if window_ids else df
+def windows(spark: SparkSession, root: str, window_ids: Sequence[str] | None = None, schema: str | None = None) -> DataFrame:
+    """A dataset of windows; the dates in ids (window_<number>_<date>_<time>) prune its folders. Where there is none, an empty table of the given schema."""
+    try:
+        df = spark.read.parquet(root)
+    except AnalysisException:
+        if schema is None:
+            raise
+        return spark.createDataFrame([], schema)
+    if not window_ids:
+        return df
+    days = [f"{d[:4]}-{d[4:6]}-{d[6:]}" for d in (i.split("_")[-2] for i in window_ids if i.count("_") >= 3) if len(d) == 8 and d.isdigit()]
+    if "window_date" in df.columns and len(days) == len(window_ids):
+        df = df.where(F.col("window_date").isin([F.lit(d).cast("date") for d in sorted(set(days))]))
+    return df.where(F.col("window_id").isin(list(window_ids)))
 
 
 def document(path: str) -> dict | list:
@@ -97,7 +109,7 @@ _baselines: dict[str, Mapping] = {}
 
 def baseline(root: str, default: Mapping | None = None) -> Mapping:
     """The latest baseline of a folder, remembered; the default if there is none."""
-    path = latest_artifact(root)
+    path = latest_artifact(root, "*baseline_v*.json")
     if path is None:
         return default or {}
     if path not in _baselines:
@@ -109,6 +121,44 @@ def labelled(spark: SparkSession, path: str) -> DataFrame:
     return csv_inferred(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
+def config(path: str, default: Mapping | None = None) -> dict:
+    """A configuration (JSON or YAML by suffix) over defaults; the defaults alone if there is none or it can't be read."""
+    found: Mapping = {}
+    p = Path(path)
+    try:
+        if p.exists() and p.suffix in (".yaml", ".yml"):
+            import yaml
+
+            found = yaml.safe_load(p.read_text()) or {}
+        elif p.exists():
+            found = json.loads(p.read_text())
+    except (ImportError, ValueError) as error:
+        raise ConfigError(f"{path}: {error}") from error
+    return merged(dict(default or {}), found)
+
+
+def merged(base: dict, over: Mapping) -> dict:
+    """base with the values of over; nested ones are merged."""
+    return base | {k: merged(dict(base[k]), v) if isinstance(v, Mapping) and isinstance(base.get(k), Mapping) else v for k, v in over.items()}
+
+
+class EngineError(Exception):
+    """Anything that this library raises for a reason of its own."""
+
+
+class ConfigError(EngineError):
+    pass
+
+
+class DataError(EngineError):
+    pass
+
+
+def kafka_tail(spark: SparkSession, brokers: str, topic: str, n: int = 5, **options: str) -> DataFrame:
+    """The first n messages of a topic, for a look at them."""
+    return kafka(spark, brokers, topic, False, startingOffsets="earliest", **options).limit(n)
+
+
 def kafka(spark: SparkSession, brokers: str, topic: str, streaming: bool = True, **options: str) -> DataFrame:
     """key, value, timestamp of a topic (needs Spark's Kafka connector)."""
     reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)

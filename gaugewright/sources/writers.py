@@ -3,19 +3,54 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.functions.exprs import col
 
 
 def parquet_windows(df: DataFrame, path: str, start: str = "window_start", mode: str = "overwrite") -> None:
-    """Windows as parquet, a folder a day: a window is a column value, so there are no small files for each."""
-    df.withColumn("window_date", F.to_date(col(start))).write.mode(mode).partitionBy("window_date").option("compression", "snappy").parquet(path)
+    """Windows as parquet, a folder a day: a window is a column value, so there are no small files for each. Rows of a day meet in few files."""
+    dated = df.withColumn("window_date", F.to_date(col(start)))
+    dated.write.mode(mode).partitionBy("window_date").option("compression", "snappy").parquet(path)
+
+
+def window_index(metadata: DataFrame, path: str) -> None:
+    """The metadata of all windows as JSON lines: ids, ends, counts, completeness, times."""
+    metadata.write.mode("overwrite").json(path)
+
+
+def windows_summary(metadata: DataFrame, path: str, extra: Mapping | None = None) -> dict:
+    """One JSON document on all windows."""
+    from gaugewright.operators.windows import statistics
+
+    prefix = next(c.removesuffix("rows") for c in metadata.columns if c.endswith("rows"))
+    found = statistics(metadata, f"{prefix}completeness", f"{prefix}rows").first().asDict() | dict(extra or {})
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(found, indent=2, default=str))
+    return found
+
+
+def schema_document(columns: Sequence[str], path: str) -> None:
+    """The locked order of a table's columns."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(list(columns), indent=2))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the one that driver and executors share (spark.checkpoint.dir), or a temporary one on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="gaugewright-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import exprs as E
-from gaugewright.operators import baselines, checks, convert, faults, features, pca, score, train, windows
+from gaugewright.operators import baselines, checks, convert, dimensions, faults, features, pca, score, train, windows
 from gaugewright.plans import phases
 from gaugewright.sources import readers, writers
 from gaugewright.streaming import decode, stream
@@ -53,9 +53,9 @@ def test_expressions(spark):
 def test_conversion(spark):
     cells = convert.convert_cells(cell_report(spark), readers.CELL, "timestamp")
     first = cells.where("timestamp = '2024-01-01 00:00:00'").first()
-    assert first["PEE.Energy_interval_imputed"] and first["PEE.Energy_interval"] == pytest.approx(0.6 / 60)
+    assert first["PEE.Energy_imputed"] and first["PEE.Energy_interval"] == pytest.approx(0.6 / 60)
     later = cells.where("timestamp = '2024-01-01 00:01:00'").first()
-    assert later["PEE.Energy_interval"] == 10.0 and not later["PEE.Energy_interval_reset"]
+    assert later["PEE.Energy_interval"] == 10.0 and not later["PEE.Energy_reset"]
     assert later["RRU.PrbTotDl_abs"] == pytest.approx(later["RRU.PrbTotDl"])
     assert "qos_flow_1s_semantics" in convert.summary(cell_report(spark), cells)["flags"]
 
@@ -76,17 +76,47 @@ def test_window_numbers_and_empty_windows(spark):
 def test_scores_of_clean_and_faulty_reports(spark):
     baseline = {"accuracy_thp_per_prb_band": {s: {"q25": 1.0, "q75": 100.0} for s in ("dl", "ul")}}
     clean = convert.convert_cells(cell_report(spark), readers.CELL, "timestamp")
-    scored = phases.score_windows(clean, baseline, 300, 60)
-    got = scored.agg(*[F.min(f"{d}_mpr").alias(d) for d in phases.DIMENSIONS]).first().asDict()
-    assert got["timeliness"] == 1.0 and got["validity"] == 1.0 and got["accuracy"] > 0.9 and got["completeness"] == 1.0
+    baseline["hourly"] = {"cells": {"0": {"median": 3}}, "ues": {"0": {"median": 4}}}
+    ues = ue_report(spark)
+    span = windows.span([(clean, "timestamp"), (ues, "timestamp")])
+    scored = phases.score_windows(clean, ues, baseline, span, 300, 60)
+    got = scored.agg(*[F.min(f"{d}_mpr").alias(d) for d in dimensions.DIMENSIONS], F.max("status").alias("status")).first().asDict()
+    assert got["timeliness"] == 1.0 and got["validity"] == 1.0 and got["accuracy"] > 0.9 and got["completeness"] == 1.0 and got["status"] == "OK"
     bad = clean.withColumn("RRU.PrbUsedDl", F.lit(500.0))
-    worse = phases.score_windows(bad, baseline, 300, 60).agg(F.avg("validity_mpr")).first()[0]
+    worse = phases.score_windows(bad, ues, baseline, span, 300, 60).agg(F.avg("validity_mpr")).first()[0]
     assert worse < 1.0
+    nameless = phases.score_windows(clean.drop(readers.CELL), ues, baseline, span, 300, 60).first()
+    assert (nameless.status, nameless.validity_mpr) == ("ERROR", 0.0) and "cell reports" in nameless.error
+    odd = phases.score_windows(clean.withColumn("RRC.ConnMax", F.array(F.lit(1))), ues, baseline, span, 300, 60).first()
+    assert odd.status == "ERROR" and odd.accuracy_mpr > 0.9
+
+
+def test_labels_stay_on_their_windows(spark):
+    cells, ues = cell_report(spark, 40), ue_report(spark, 40).where("minute(timestamp) >= 10")
+    late = cells.withColumn("RRU.PrbUsedDl", F.when(F.minute("timestamp") >= 30, 500.0).otherwise(E.col("RRU.PrbUsedDl")))
+    model = pca.Consolidator(tuple(dimensions.DIMENSIONS), (0.5,) * 5, (1.0,) * 5, (0.0, 0.0, -1.0, 0.0, 0.0), 0.0, 0.2, 1.0)
+    rows = phases.label_windows(late, ues, {}, 300, 60, model).orderBy("window_id").select("window_id", "meta_start_time", "label").collect()
+    assert rows[0].window_id == "window_000000_20240101_001000"
+    good = {r.label for r in rows if r.meta_start_time < "2024-01-01 00:25"}
+    assert len(good) == 1 and all(r.label < min(good) for r in rows if r.meta_start_time >= "2024-01-01 00:27")
+
+
+def test_exact_quantiles_in_small_steps(spark):
+    from gaugewright.operators import ranks
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("key"), F.floor(F.pmod(F.xxhash64("id"), F.lit(30_000)) / 3).cast("double").alias("value"))
+    shares = (0.0, 0.01, 0.25, 0.5, 0.777, 1.0)
+    want = {r.key: r.q for r in df.groupBy("key").agg(F.percentile("value", F.array(*[F.lit(p) for p in shares])).alias("q")).collect()}
+    for small in (10, 300, 10**6):
+        got = ranks.quantiles(df, shares, small)
+        assert {k: n for k, (n, _) in got.items()} == {"a": 10_000, "b": 30_000}
+        assert all(got[k][1] == pytest.approx(want[k]) for k in want)
+    assert ranks.quantiles(df.limit(0), shares) == {}
 
 
 def test_feature_rows(spark):
     cells = convert.convert_cells(cell_report(spark), readers.CELL, "timestamp")
-    rows = phases.feature_table(cells, ue_report(spark), 300, 60)
+    rows = phases.feature_table(cells, ue_report(spark), windows.span([(cells, "timestamp"), (ue_report(spark), "timestamp")]), 300, 60)
     assert rows.columns == [c for c in features.feature_columns() if c != "label"]
     assert len(features.feature_columns()) == 148
     r = rows.orderBy("window_id").first()
@@ -137,8 +167,9 @@ def test_presence_baseline():
 
 
 def test_slack_and_padding(spark):
-    assert checks.padded("RRU.PrbUsedDl", 0.5, 9.5) == (-1, 11)
-    assert checks.padded("x", 0.0, 100.0) == (-1.0, 101.0)
+    assert checks.padded("RRU.PrbUsedDl", 0.5, 9.5) == (0.0, 11.0) and checks.padded("RRC.ConnMax", 2.5, 9) == (1.0, 10.0)
+    assert checks.padded("x", 0.0, 100.0) == (-1.0, 101.0) and checks.padded("x", 1.0, 1.0) == (1.0, 1.0)
+    assert checks.padded("PEE.Energy_interval", 0.1, 0.2, 60, 5) == (55.0, 65.0) and checks.padded("DRB.UEThpDl", 0.5, 1.0) == (0.49, 1.01)
     r = one(spark, a=checks.rule_slack(F.lit(None).cast("double"), 1), b=checks.rule_slack(F.lit(10_000.0), 1), c=checks.rule_slack(F.lit(1.0), 1, 2.0))
     assert (r.a, r.b, r.c) == (1.0, 3.0, 2.0)
 
@@ -169,14 +200,19 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_decode_is_tolerant(spark):
-    good = json.dumps({"metadata": {"event_ts_ms": 1000}, "cell_id": "c", "measInfoList": [{"measTypeName": "PEE.Energy"}, {"measTypeName": "unknown"}, {"measTypeName": "RRC.ConnMax"}], "measData": [{"measRecord": [{"integer": 0, "real": 2.5}, {"real": 1}]}, {"measRecord": [{"measValue": 3}]}]}).encode()
-    ue = json.dumps({"metadata": {"event_ts_ms": 1000}, "measInfoList": [{"measType": {"measName": "DRB.UECqiDl"}}, {"measTypeName": "DRB.UEThpDl"}], "ueMeasData": [{"ueID": {"gNB-UEID": {"amf-UE-NGAP-ID": 7}}, "measReportList": [{"measRecord": [{"integer": 9}]}, {"measRecord": [{"real": 1.5}]}]}]}).encode()
+    info = lambda *names: [{"measType": {"measName" if i % 2 else "measTypeName": n}} for i, n in enumerate(names)]
+    good = json.dumps({"metadata": {"event_ts_ms": "1000"}, "indicationMessage-Format1": {"measInfoList": info("PEE.Energy", "unknown", "RRC.ConnMax"), "measData": [{"metadata": {"cell_name": "S1/B2/C1", "band": "B2"}, "measRecord": [{"integer": 0, "real": 2.5}, 1]}, {"measRecord": [{"measValue": 3}]}]}}).encode()
+    ue = json.dumps({"metadata": {"event_ts_ms": 1000}, "indicationMessage-Format3": {"measInfoList": info("DRB.UECqiDl", "DRB.UEThpDl", "TB.TotNbrDl"), "ueMeasData": [{"ueID": {"gNB-UEID": {"amf-UE-NGAP-ID": 7}}, "measReport": {"measReportList": [{"measRecord": [9]}, {"measRecord": [{"real": 1.5}, {"real": 0.0}]}]}}]}}).encode()
     values = [good, b"\x00\x00\x01\x00" + good, b"\xff\xfe", b"", b"junk\n" + good + b"\n tail", b"{broken}\n" + good, json.dumps({"metadata": {}}).encode(), ue, None]
     df = spark.createDataFrame([(None if v is None else bytearray(v),) for v in values], "value binary")
     rows = decode.cell_rows(decode.decode(df)).collect()
     assert len(rows) == 8 and {r["PEE.Energy"] for r in rows} == {2.5, 3.0} and all(r["RRC.ConnMax"] is None for r in rows)
     (u,) = decode.ue_rows(decode.decode(df)).collect()
-    assert (u[readers.UE], u["DRB.UECqiDl"], u["DRB.UEThpDl"]) == ("7", 9.0, 1.5)
+    assert (u[readers.UE], u["DRB.UECqiDl"], u["DRB.UEThpDl"], u["TB.TotNbrDl"], u["DRB.UECqiUl"]) == ("7", 9.0, 1.5, 0.0, None)
+    assert {(r[readers.CELL], r.band) for r in rows} == {("S1/B2/C1", "B2"), (None, None)}
+    assert decode.dead_letters(df).groupBy("problem").count().orderBy("problem").collect() == [("no event time", 1), ("unreadable", 3)]
+    replaced = decode.decode(spark.createDataFrame([(bytearray(good.replace(b"B2", b"B\xff")),)], "value binary"), strict=False)
+    assert decode.cell_rows(replaced).count() == 2
     wrapped = spark.createDataFrame([(bytearray(b'{"normalized_rows":[{"a":1},{"a":2}]}'),)], "value binary")
     assert [r.a for r in decode.normalised_rows(wrapped, "a:int").collect()] == [1, 2]
 
