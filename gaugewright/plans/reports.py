@@ -21,14 +21,14 @@ UE_NAME = "CASE WHEN event_id % 89 = 0 THEN NULL ELSE concat('UE', CAST(user_id
 IS_CELL = "event_type IN ('click', 'view', 'error')"
 IS_UE = "event_type IN ('signup', 'purchase') AND raw >= 1704326400000000"
 CELL_VALUES = {
-    "DRB.UEThpDl": "CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 23 = 0 THEN CAST(0 AS DOUBLE) ELSE value / 1000 END", "DRB.UEThpUl": "value / 4000",
+    "DRB.UEThpDl": "CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 23 = 0 THEN CAST(0 AS DOUBLE) ELSE value / 1013 END", "DRB.UEThpUl": "value / 4001",
     "RRU.PrbUsedDl": "k * CAST(0.5 AS DOUBLE)", "RRU.PrbUsedUl": "k * CAST(0.3 AS DOUBLE)",
     "RRU.PrbAvailDl": "CASE WHEN event_id % 61 = 0 THEN 0 WHEN event_id % 53 = 0 THEN NULL ELSE 100 END", "RRU.PrbAvailUl": "75",
     "RRU.PrbTotDl": "k * CAST(0.5 AS DOUBLE) - event_id % 4", "RRU.PrbTotUl": "k * CAST(0.3 AS DOUBLE) + CASE WHEN event_id % 13 = 0 THEN 90 ELSE 0 END",
     "RRC.ConnMean": "CASE WHEN event_id % 37 = 0 THEN NULL ELSE CAST(k % 9 AS DOUBLE) END", "RRC.ConnMax": "CAST(k % 10 + 1 AS DOUBLE)", "PEE.AvgPower": "CAST(100 + k AS DOUBLE)",
 }
 UE_VALUES = {
-    "DRB.UEThpDl": "value / 1300", "DRB.UEThpUl": "value / 5000", "RRU.PrbUsedDl": "k * CAST(0.4 AS DOUBLE)", "RRU.PrbUsedUl": "k * CAST(0.2 AS DOUBLE)",
+    "DRB.UEThpDl": "value / 1301", "DRB.UEThpUl": "value / 5003", "RRU.PrbUsedDl": "k * CAST(0.4 AS DOUBLE)", "RRU.PrbUsedUl": "k * CAST(0.2 AS DOUBLE)",
     "RRC.ConnMean": "CAST(k % 5 AS DOUBLE)", "DRB.UECqiDl": "CAST(k % 20 AS DOUBLE)", "TB.TotNbrDl": "CAST(k AS DOUBLE)",
 }
 #: The counter: a running sum of whole numbers, so that both engines agree to the last digit.
@@ -256,3 +256,79 @@ def report_top_reasons(spark, sf):
     """The three commonest reasons."""
     out = scored(spark, sf)
     return score.top_reasons(out.select(F.concat(*[f"{d}_reasons" for d in FIVE]).alias("reasons")), "reasons", 3)
+
+
+def _digits(column: str) -> int:
+    """To how many digits a column is compared: few where its numbers are large."""
+    return 1 if "energy_per_thp" in column or "resid" in column else 10
+
+
+def _feature_sql() -> str:
+    def stats(prefix: str, names: dict[str, str]) -> list[str]:
+        made = (("mean", "avg({x})"), ("std", "stddev_pop({x})"), ("min", "min({x})"), ("max", "max({x})"), ("median", "quantile_cont({x}, 0.5)"), ("q25", "quantile_cont({x}, 0.25)"), ("q75", "quantile_cont({x}, 0.75)"))
+        return [f'CAST({f.format(x=x)} AS DOUBLE) AS "{prefix}_{n}_{k}"' for n, x in names.items() for k, f in made]
+
+    def cadence(p: str) -> list[str]:
+        off = "NOT (g % 3600 <= 360) AND NOT ((3600 - g % 3600) % 3600 <= 360)"
+        return [
+            f"CAST(min(g) AS DOUBLE) AS {p}_dt_min, CAST(quantile_cont(g, 0.5) AS DOUBLE) AS {p}_dt_median, CAST(max(g) AS DOUBLE) AS {p}_dt_max, CASE WHEN count(g) > 0 THEN count(*) FILTER (WHERE {off}) END AS {p}_offgrid_count",
+            f"CASE WHEN count(g) > 0 THEN CAST(sum(greatest(floor(g / 3600) - 1, 0)) AS BIGINT) END AS {p}_missing_intervals, CASE WHEN count(g) > 0 THEN count(*) / ((max(us) - min(us)) // 3600000000 + 1) END AS {p}_coverage_ratio",
+        ]
+
+    def ratio(p: str, name: str, x: str, labels: tuple[str, ...] = ("mean", "q25", "q75")) -> list[str]:
+        made = {"mean": f"avg({x})", "q25": f"quantile_cont({x}, 0.25)", "q75": f"quantile_cont({x}, 0.75)"}
+        return [f"{made[k]} AS {p}_{name}_{k}" for k in labels]
+
+    def nulls(p: str, names: list[str]) -> str:
+        return "(" + " + ".join(f"count(*) - count({n})" for n in names) + f") / ({len(names)} * count(*)) AS {p}_null_frac"
+
+    q = lambda n: f'"{n}"'
+    cell_names = {m: "step" if m == "PEE.Energy_interval" else q(m) for m in features.CELL_METRICS}
+    rules = {f"prb_used_gt_avail_{s.lower()}": f'"RRU.PrbUsed{s}" > "RRU.PrbAvail{s}"' for s in ("Dl", "Ul")} | {"conn_mean_gt_max_cnt": '"RRC.ConnMean" > "RRC.ConnMax"'}
+    rules |= {f"thp_pos_prb_zero_{s.lower()}": f'"DRB.UEThp{s}" > 0.001 AND "RRU.PrbUsed{s}" <= 0' for s in ("Dl", "Ul")}
+    numbers = [q(n) for n in CELL_VALUES] + ["energy", "tdl", "tul", "step", '"PEE.AvgPower"']  # the expected energy is there whenever the power is
+    cell = [
+        "count(*) AS cell_rows, count(DISTINCT ent) AS unique_cells, count(*) FILTER (WHERE same > 1) AS cell_duplicate_rows", *cadence("cell"), nulls("cell", numbers), *[f"count(*) FILTER (WHERE {r}) AS viol_{n}" for n, r in rules.items()],
+        *ratio("cell", "energy_per_thp_dl", 'step / nullif("DRB.UEThpDl" + 1e-9, 0)', ("mean", "q75")), "avg(abs(resid)) AS cell_energy_resid_abs_mean, quantile_cont(abs(resid), 0.75) AS cell_energy_resid_abs_q75", *stats("cell", cell_names),
+    ]
+    ue = [
+        "count(*) AS ue_rows, count(DISTINCT ent) AS unique_ues, count(*) FILTER (WHERE same > 1) AS ue_duplicate_rows", *cadence("ue"), nulls("ue", [q(n) for n in UE_VALUES]),
+        *[r for s in ("Dl", "Ul") for r in ratio("ue", f"thp_per_prb_{s.lower()}", f'"DRB.UEThp{s}" / nullif("RRU.PrbUsed{s}", 0)')], *stats("ue", {m: q(m) for m in features.UE_METRICS}),
+    ]
+    recon = [(m, s, f"{short}_{s.lower()}") for short, m in (("thp", "DRB.UEThp"), ("prb", "RRU.PrbUsed")) for s in ("Dl", "Ul")]
+    sums = ", ".join(f'coalesce(sum("{m}{s}"), 0) AS {n}' for m, s, n in recon)
+    medians = ", ".join(f"quantile_cont(CASE WHEN a.{n} > 0 THEN b.{n} / a.{n} END, 0.5) AS recon_{n}_median" for _, _, n in recon)
+    zero = ("cell_rows", "ue_rows", "unique_cells", "unique_ues", "cell_duplicate_rows", "ue_duplicate_rows")
+    wide = {c: f"coalesce({c}, 0)" for c in zero} | {
+        "total_rows": "coalesce(cell_rows, 0) + coalesce(ue_rows, 0)", "meta_hour_of_day": "hour(make_timestamp(lo))", "meta_day_of_week": "isodow(make_timestamp(lo)) - 1", "meta_start_time": "CAST(make_timestamp(lo) AS VARCHAR)", "meta_end_time": f"CAST(make_timestamp(lo + {SIZE}000000) AS VARCHAR)",
+        **{f"t2_{k}_slots": f"CAST({x} AS DOUBLE)" for k, x in (("expected", "n_t2"), ("aligned", "p_t2"), ("missing", "greatest(n_t2 - p_t2, 0)"))},
+    }
+    name = "'window_' || lpad(CAST(spine.window_number AS VARCHAR), 6, '0') || '_' || strftime(make_timestamp(lo), '%Y%m%d_%H%M%S')"
+    wide |= {"meta_window_id": name, "window_id": name}
+    whole = {"cell_rows", "ue_rows", "total_rows", "meta_hour_of_day", "meta_day_of_week"} | {c for c in features.feature_columns() if c.startswith(("viol_", "unique_")) or c.endswith(("_duplicate_rows", "_offgrid_count", "_missing_intervals"))}
+    text = {"meta_window_id", "window_id", "meta_start_time", "meta_end_time"}
+
+    def shown(c: str) -> str:
+        x = wide.get(c, f'"{c}"')
+        return f'{x} AS "{c}"' if c in text else f'CAST({x} AS BIGINT) AS "{c}"' if c in whole else f'round({x}, {_digits(c)}) AS "{c}"'
+
+    w = "(PARTITION BY window_number ORDER BY us, ent NULLS FIRST, event_id)"
+    return f"""{CHECKED},
+fc AS (SELECT *, (us - lag(us) OVER {w}) / 1e6 AS g, count(*) OVER (PARTITION BY window_number, ent, us) AS same, energy - lag(energy) OVER {w} - lag("PEE.AvgPower") OVER {w} * ((us - lag(us) OVER {w}) / 1e6) AS resid FROM xc),
+fu AS (SELECT *, (us - lag(us) OVER {w}) / 1e6 AS g, count(*) OVER (PARTITION BY window_number, ent, us) AS same FROM xu),
+hc AS (SELECT window_number, {", ".join(cell)} FROM fc GROUP BY window_number), hu AS (SELECT window_number, {", ".join(ue)} FROM fu GROUP BY window_number),
+sc AS (SELECT window_number, us, {sums} FROM xc GROUP BY ALL), su AS (SELECT window_number, us, {sums} FROM xu GROUP BY ALL),
+hr AS (SELECT a.window_number, {medians} FROM sc AS a JOIN su AS b ON a.window_number = b.window_number AND a.us = b.us GROUP BY ALL)
+SELECT {", ".join(shown(c) for c in features.feature_columns() if c != "label")}
+FROM spine LEFT JOIN hc USING (window_number) LEFT JOIN hu USING (window_number) LEFT JOIN hr USING (window_number) LEFT JOIN grid USING (window_number)"""
+
+
+@query(f"WITH {_feature_sql()}")
+def report_features(spark, sf):
+    """All feature columns of each window, in their locked order."""
+    c, u = cells(spark, sf), ues(spark, sf)
+    span = windows.span([(c, TS), (u, TS)])
+    spine = windows.spine(c, *span, SIZE, STEP)
+    out = features.feature_rows(windows.assign(c, TS, *span, SIZE, STEP), windows.assign(u, TS, *span, SIZE, STEP), spine, HOUR, "event_id")
+    whole = {"meta_hour_of_day", "meta_day_of_week"}
+    return out.select(*[F.col(f"`{n}`").cast("long").alias(n) if n in whole else F.round(f"`{n}`", _digits(n)).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in out.dtypes])
