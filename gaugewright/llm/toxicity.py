@@ -33,7 +33,7 @@ from gaugewright.llm.common import fold, map_batches, spread_sample, two_columns
 from gaugewright.llm.features import Adam, Rows, collect_sample, sigmoid, word_buckets
 
 BUCKETS = 1 << 18
-POSITIVES, BLOCK = 3000, 16_384
+POSITIVES, BLOCK, PARTITIONS = 3000, 16_384, 20_000
 HALF, SMOOTH = 4.0, 4.0
 STEPS, RATE, PENALTY = 60, 0.1, 0.05
 THRESHOLD = 0.3
@@ -98,7 +98,8 @@ def averaged(rows: DataFrame, positives: list[np.ndarray], prior: float, block:
         return pd.DataFrame({"word": np.append(some, -1).astype(np.int32), "weight": np.append(model.weights[some], model.bias).astype(float)})
 
     dealt = map_batches(rows.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "text"), features, "block int, x binary")
-    found = dealt.groupBy("block").applyInPandas(fitted, "word int, weight double").groupBy("word").agg(F.sum("weight").alias("weight"))
+    # as many partitions as blocks: small ones aren't put together, since a block takes time rather than room
+    found = dealt.repartition(min(blocks, PARTITIONS), "block").groupBy("block").applyInPandas(fitted, "word int, weight double").groupBy("word").agg(F.sum("weight").alias("weight"))
     weights, bias, of = np.zeros(BUCKETS, np.float32), 0.0, min(blocks, n)
     for word, weight in found.toLocalIterator():  # BUCKETS rows and the bias
         if word < 0:
