@@ -1,19 +1,24 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 Everything is DataFrame functions. Words are runs of ASCII letters and digits in lower case; a shingle
-is SHINGLE consecutive words, a hash of them. Templates fall into classes by length; a class has
-windows of twice its longest template at half-window steps, so any passage as long as a template lies
-whole in some window. Shingles that no template of the class has can't count towards containment and
-are left out first; what remains of a window is sketched by BANDS bands of one MinHash each. A window
-whose similarity to a template is s shares a band with it with probability 1 - (1 - s)^BANDS: 0.9998
-at s = 0.125. Candidates are verified: the share of the template's distinct shingles that the window
-has must reach CONTAINMENT.
-
-Templates are a parameter and are checked to be MAX_TEMPLATES at most, which bounds what is broadcast
-and the shingle lists inside the plan. Null and empty texts match nothing; a document with a template
-in several places has one row for it, with the best containment and the earliest window; rows that
-repeat a doc_id count as one document; templates of fewer than SHINGLE words can't match; an empty
-table gives no rows; columns other than id and text play no part.
+is SHINGLE consecutive words, a hash of them. The shingles of a text lie in blocks of BLOCK; a block's
+sketch has one MinHash for each of BANDS bands, and the sketch of two blocks together is the least of
+both. So the sketches of blocks of twice the size, and of windows of two blocks, are made of smaller
+ones. A template belongs to the smallest block size that is no less than its shingles: any passage of
+that many shingles lies whole in some window of two such blocks. Each band of a window's sketch that
+equals a template's retrieves it.
+
+How likely: a template of n shingles, of which a share c = CONTAINMENT is in a window of 2 s shingles
+(s / 2 < n <= s), has a similarity of c n / (2 s + (1 - c) n) or more, which is 0.19 at least; it shares a
+band with probability 1 - (1 - 0.19)^48 = 0.99996 then, and more than that for n near s or c near 1. Candidates are
+verified: the share of the template's distinct shingles that the window has must reach CONTAINMENT.
+
+Templates are a parameter, of any number and length. Their bands are broadcast up to BROADCAST rows, and
+joined by a shuffle beyond that. Null and empty texts match nothing; a document with a template
+in several places has one row for it, with the best containment and the earliest place of one of its
+shingles in a matching window; rows that repeat a doc_id count as one document; templates of fewer than
+SHINGLE words can't match; a text that holds a template within another is reported for both; an
+empty table gives no rows; columns other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -25,16 +30,17 @@ from pyspark.sql import functions as F
 
 from gaugewright.llm.common import two_columns
 
-SHINGLE, BANDS, CONTAINMENT = 3, 64, 0.8
-#: Longest template of each class, in words.
-CLASSES = (8, 16, 64, 256)
-MAX_TEMPLATES = 500
+SHINGLE, BANDS, CONTAINMENT = 3, 48, 0.8
+#: Shingles of the smallest blocks; larger ones double.
+BLOCK = 4
+#: Bands of templates that are broadcast at most.
+BROADCAST = 2_000_000
 
-#: Notices that authors are asked to place in their works.
+#: Notices that authors are asked to place in their works, and whole short licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD-3-Clause-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -45,6 +51,10 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
 
 
@@ -52,38 +62,75 @@ def words_of(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
 
 
+def level_of(words: list[str], shingle: int = SHINGLE) -> int:
+    """How often blocks double until a template's shingles fit into one."""
+    level = 0
+    while BLOCK << level < len(words) - shingle + 1:
+        level += 1
+    return level
+
+
 def shingle_hashes(words: Column, size: int) -> Column:
     """The hash of each run of `size` words, by position."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
 
 def sketch(hashes: Column, bands: int) -> Column:
+    """The MinHash of each band."""
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
 
 
+def both(one: Column, other: Column) -> Column:
+    """The sketch of two blocks; the other may not be there."""
+    return F.zip_with(one, F.coalesce(other, one), lambda a, b: F.least(a, b))
+
+
+def counted(of: Column, make) -> Column:
+    """make(i) for i below the number `of`."""
+    return F.transform(F.when(of > 0, F.sequence(F.lit(0), of - 1)).otherwise(F.array().cast("array<int>")), make)
+
+
+def joined(one: Column, other: Column) -> Column:
+    """The shingles of two blocks; the other may not be there."""
+    return F.concat(one, F.coalesce(other, F.array().cast("array<bigint>")))
+
+
+def doubled(below: str, put) -> Column:
+    """What blocks of twice the size have, of what blocks have, by put()."""
+    return counted(F.ceil(F.size(below) / 2).cast("int"), lambda i: put(F.get(below, 2 * i), F.get(below, 2 * i + 1)))
+
+
+def windows_of(level: int) -> Column:
+    """The windows of two blocks each, with their shingles: a slice of the whole text would cost its length each time."""
+    b, s = f"b{level}", f"s{level}"
+    return counted(F.size(b), lambda i: F.struct(F.lit(level).alias("level"), i.alias("at"), both(F.get(s, i), F.get(s, i + 1)).alias("lows"), joined(F.get(b, i), F.get(b, i + 1)).alias("have")))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
-    """A row for each document and template in it: doc_id, license, containment (best), first_word (start of its earliest window's first template shingle)."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    spark = docs.sparkSession
-    given = [(name, words_of(t), next((i for i, most in enumerate(CLASSES) if len(words_of(t)) <= most), None)) for name, t in templates.items()]
-    if any(kind is None for _, _, kind in given):
-        raise ValueError(f"a template has more than {CLASSES[-1]} words")
-    known = spark.createDataFrame([g for g in given if len(g[1]) >= shingle], "license string, words array<string>, kind int")
-    known = known.select("license", "kind", F.array_distinct(shingle_hashes(F.col("words"), shingle)).alias("wanted"))
-    hashes = {k: sorted({h for r in rows for h in r.wanted}) for k in range(len(CLASSES)) if (rows := [r for r in known.collect() if r.kind == k])}
+    """A row for each document and template in it: doc_id, license, containment (best), first_word (earliest place of one of its shingles where it matches)."""
+    given = [(name, w, level_of(w, shingle)) for name, t in templates.items() if len(w := words_of(t)) >= shingle]
+    known = docs.sparkSession.createDataFrame(given, "license string, words array<string>, level int")
+    known = known.select("license", "level", F.array_distinct(shingle_hashes(F.col("words"), shingle)).alias("wanted"))
+    keys = known.select("license", F.col("level").alias("of"), "wanted", F.explode(sketch(F.col("wanted"), bands)).alias("low"))
+    if len(given) * bands <= BROADCAST:
+        keys = F.broadcast(keys)
     # ascii lower case before anything else: other letters are never part of a word
-    rows = two_columns(docs, id_col, text_col).select("doc_id", F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")), " ").alias("words"))
-    # texts of fewer words have shingles with nulls, which no template has
-    every = sorted({h for hs in hashes.values() for h in hs})
-    placed = F.transform(shingle_hashes(F.col("words"), shingle), lambda h, i: F.struct(i.alias("place"), h.alias("h")))
-    found = rows.select("doc_id", F.explode(F.filter(placed, lambda x: x["h"].isin(every))).alias("x")).select("doc_id", "x.place", "x.h")
-    # the windows of each class that a template shingle is in: the one that begins in its own half window, and the one before
-    steps = [F.when(F.col("h").isin(hashes[k]), F.struct(F.lit(k).alias("kind"), F.floor(F.col("place") / CLASSES[k]).alias("half"))) for k in hashes]
-    windows = found.select("doc_id", "place", "h", F.explode(F.array_compact(F.array(*steps))).alias("w")).select("doc_id", "place", "h", "w.kind", "w.half").select("*", F.explode(F.array(F.col("half") - 1, F.col("half"))).alias("window"))
-    each = windows.groupBy("doc_id", "kind", "window").agg(F.collect_set("h").alias("have"), F.min("place").alias("place"))
-    banded = each.select("*", F.posexplode(sketch(F.col("have"), bands)).alias("band", "low"))
-    keys = known.select("license", "kind", "wanted", F.posexplode(sketch(F.col("wanted"), bands)).alias("band", "low"))
-    candidates = banded.join(F.broadcast(keys), ["kind", "band", "low"])
-    share = F.size(F.array_intersect("have", "wanted")) / F.size("wanted")
-    return candidates.select("doc_id", "license", share.alias("containment"), F.col("place").alias("first_word")).where(F.col("containment") >= containment).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").cast("long").alias("first_word"))
+    plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+    rows = two_columns(docs, id_col, text_col).select("doc_id", F.split(plain, " ").alias("words")).select("doc_id", shingle_hashes(F.col("words"), shingle).alias("h"))
+    # no filter here: it would go below the projections, and the words would be made anew for every shingle
+    blocks = counted(F.ceil(F.size("h") / BLOCK).cast("int"), lambda i: F.array_compact(F.array(*[F.get("h", i * BLOCK + k) for k in range(BLOCK)])))
+    rows = rows.select("doc_id", blocks.alias("b0"))
+    rows, used = rows.withColumn("s0", F.transform("b0", lambda b: sketch(b, bands))), sorted({g[2] for g in given})
+    for k in range(1, max(used, default=0) + 1):
+        rows = rows.withColumns({f"b{k}": doubled(f"b{k - 1}", joined), f"s{k}": doubled(f"s{k - 1}", both)})
+    empty = F.array().cast("array<struct<level:int,at:int,lows:array<bigint>,have:array<bigint>>>")
+    windows = rows.select("doc_id", F.explode(F.concat(*[windows_of(k) for k in used]) if used else empty).alias("w"))
+    banded = windows.select("doc_id", "w.level", "w.at", "w.have", F.explode("w.lows").alias("low"))
+    # a MinHash of one band is equal to none of another but by chance
+    found = banded.join(keys, "low").where(F.col("level") == F.col("of"))
+    size = (BLOCK * F.pow(F.lit(2.0), "level")).cast("int")
+    found = found.select("doc_id", "license", "wanted", (F.col("at") * size).alias("start"), "have")
+    found = found.withColumn("containment", F.size(F.array_intersect("have", "wanted")) / F.size("wanted")).where(F.col("containment") >= containment)
+    first = F.col("start") + F.array_min(F.transform("wanted", lambda x: F.nullif(F.array_position("have", x), F.lit(0)))) - 1
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min(first).cast("long").alias("first_word"))

@@ -50,7 +50,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _templates_sql() -> str:
-    rows = ", ".join("('{}', '{}', {})".format(name, t.replace("'", "''"), next(c for c in license_scan.CLASSES if len(license_scan.words_of(t)) <= c)) for name, t in license_scan.TEMPLATES.items())
+    named = [(name, t, license_scan.BLOCK << license_scan.level_of(license_scan.words_of(t))) for name, t in license_scan.TEMPLATES.items()]
+    rows = ", ".join("('{}', '{}', {})".format(name, t.replace("'", "''"), size) for name, t, size in named)
     words = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
     return f"""
 WITH template AS (SELECT license, step, {words.format("notice")} AS w FROM (VALUES {rows}) AS t(license, notice, step)),
@@ -58,11 +59,9 @@ wanted AS (SELECT DISTINCT license, step, array_to_string(w[i:i + 2], ' ') AS s
 size AS (SELECT license, count(*) AS n FROM wanted GROUP BY license),
 doc AS (SELECT doc_id, {words.format("text")} AS w FROM documents WHERE text IS NOT NULL),
 have AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + 2], ' ') AS s FROM doc, unnest(generate_series(1, len(w) - 2)) AS t(i)),
-near AS (SELECT doc_id, place, s, step, unnest([place // step - 1, place // step]) AS win FROM have JOIN (SELECT DISTINCT step, s FROM wanted) USING (s)),
-opened AS (SELECT doc_id, step, win, min(place) AS first_word FROM near GROUP BY ALL),
-share AS (SELECT doc_id, near.step, win, license, count(DISTINCT s) / min(n) AS c FROM near JOIN wanted USING (step, s) JOIN size USING (license) GROUP BY ALL)
-SELECT doc_id, license, round(max(c), 6) AS containment, CAST(min(first_word) AS BIGINT) AS first_word
-FROM share JOIN opened USING (doc_id, step, win) WHERE c >= 0.8 GROUP BY doc_id, license
+near AS (SELECT doc_id, place, s, license, unnest([place // step - 1, place // step]) AS win FROM have JOIN wanted USING (s)),
+share AS (SELECT doc_id, license, win, count(DISTINCT s) / min(n) AS c, min(place) AS first FROM near JOIN size USING (license) WHERE win >= 0 GROUP BY ALL)
+SELECT doc_id, license, round(max(c), 6) AS containment, CAST(min(first) AS BIGINT) AS first_word FROM share WHERE c >= 0.8 GROUP BY doc_id, license
 """
 
 
