@@ -32,7 +32,8 @@ KINDS = ("assign", "access", "hex", "key", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-BASE64 = re.compile(r"[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){38,}(?:(?:\r?\n)?={1,2})?")
+#: Either alphabet: + and /, or - and _.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/=_-])){38,}(?:(?:\r?\n)?={1,2})?")
 LINE_END = re.compile(r"\r?\n")
 #: What may follow a key, by the number of characters that its last group of four lacks.
 PADDING = [re.compile(""), *(re.compile(rf"(?:\r?\n)?={{1,{n}}}") for n in (1, 2, 3))]
@@ -102,7 +103,7 @@ def private_key(data: bytes) -> str | None:
 
 
 def unbase64(run: str) -> bytes | None:
-    run = re.sub(r"\s+", "", run).rstrip("=")
+    run = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(run[: len(run) // 4 * 4 + (len(run) % 4 if len(run) % 4 > 1 else 0)] + "=" * (-len(run) % 4 % 3), validate=True)
     except (binascii.Error, ValueError):

@@ -123,3 +123,61 @@ def test_nulls_repeats_long_and_empty(documents):
     got = secret_scan.secrets(documents([(1, None), (1, ""), (None, long), (2, long)])).collect()
     assert sorted((str(r.doc_id), len(r.spans)) for r in got) == [("1", 0), ("1", 0), ("2", 1), ("None", 1)]
     assert secret_scan.secrets(documents([])).count() == 0
+
+
+def test_keys_in_the_other_alphabet():
+    for n in range(24, 73):
+        for fill in (b"\xff", b"\xfb\xef", b"\x07"):
+            key = der(0x30, der(2, b"\1") + der(4, (fill * n)[:n]))
+            run = base64.urlsafe_b64encode(key).decode()
+            assert ("key", run) in kinds(f"x {run} y"), run
+
+
+def test_base_columns_against_sql(spark, sf_dir):
+    import duckdb
+
+    docs = {r[0]: r[1] or "" for r in duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall()}
+    found = duckdb.sql(
+        f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM '{sf_dir}/documents.parquet')
+        SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 8)),
+        len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)), len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: len(x) >= 32)) FROM d"""
+    ).fetchall()
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in queries.op6_secret_scan(spark, sf_dir).collect()}
+    assert got == {r[0]: tuple(r[1:]) for r in found} and len(got) == len(docs)
+
+
+def test_added_kinds_against_a_search_of_all_places():
+    """Every place and every end is tried, and read by a parser that shares nothing with the scanner."""
+
+    def size(data):
+        """Bytes of the element at the start of data, its children checked as well; None if it is none."""
+        if len(data) < 2:
+            return None
+        n, start = data[1], 2
+        if n >= 128:
+            k = n - 128
+            n, start = int.from_bytes(data[2 : 2 + k], "big"), 2 + k
+        if start + n > len(data):
+            return None
+        if data[0] == 0x30:
+            at = start
+            while at < start + n:
+                child = size(data[at : start + n])
+                if not child:
+                    return None
+                at += child
+        return start + n
+
+    def whole(text):
+        try:
+            data = base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
+        except ValueError:
+            return False
+        return data[:1] == b"\x30" and size(data) == len(data) and data[data[1] < 128 and 2 or 2 + data[1] - 128] == 2
+
+    for key in (pkcs8(), sec1(), der(0x30, der(2, b"\1") + der(4, b"\x31" * 40))):
+        run = base64.b64encode(key).decode().rstrip("=")
+        text = f"Some words, then {run}, and more.\nMary had {run[:-4]} too."
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/]{30,}", text)]
+        want = [(a, e) for a, b in runs for e in range(b, a + 30, -1) if whole(text[a:e])]
+        assert [(a, b) for k, a, b in secret_scan.spans_of(text) if k == "key"] == want
