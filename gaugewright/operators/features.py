@@ -71,9 +71,9 @@ def telecom_violations() -> dict[str, Column]:
     return out | {f"thp_pos_prb_zero_{s.lower()}": (n(f"DRB.UEThp{s}") > 0.001) & (n(f"RRU.PrbUsed{s}") <= 0) for s in ("Dl", "Ul")}
 
 
-def energy_residuals(df: DataFrame, keys: Sequence[str], energy: str, power: str, ts: str, entity: str, out: str = "energy_resid") -> DataFrame:
+def energy_residuals(df: DataFrame, keys: Sequence[str], energy: str, power: str, ts: str, entity: str, out: str = "energy_resid", tiebreak: str | None = None) -> DataFrame:
     """Energy step less power (W) times time (s), both against the row before by (time, entity) in the group."""
-    order = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(ts), col(entity))
+    order = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(ts), col(entity), *([col(tiebreak)] if tiebreak else []))
     step = number(col(energy)) - F.lag(number(col(energy))).over(order)
     return df.withColumn(out, step - F.lag(number(col(power))).over(order) * seconds_between(col(ts), F.lag(col(ts)).over(order)))
 
@@ -105,15 +105,15 @@ def align(df: DataFrame, columns: Sequence[str], fill: float = 0.0) -> DataFrame
     return df.select(*[col(c).alias(c) if c in df.columns else F.lit(fill).alias(c) for c in columns])
 
 
-def feature_rows(cells: DataFrame, ues: DataFrame, windows: DataFrame, cadence_s: float = 60.0) -> DataFrame:
+def feature_rows(cells: DataFrame, ues: DataFrame, windows: DataFrame, cadence_s: float = 60.0, tiebreak: str | None = None) -> DataFrame:
     """A feature row for each window, from assigned cell and UE reports (with window_number) and the spine."""
     from gaugewright.operators.checks import grid_alignment, reconcile
 
     key, cell, ue, ts = ["window_number"], "Viavi.Cell.Name", "Viavi.UE.Name", "timestamp"
-    cells = energy_residuals(with_gaps(duplicates(cells, [*key, cell, ts]), key, ts, cell), key, "PEE.Energy", "PEE.AvgPower", ts, cell)
+    cells = energy_residuals(with_gaps(duplicates(cells, [*key, cell, ts]), key, ts, cell), key, "PEE.Energy", "PEE.AvgPower", ts, cell, tiebreak=tiebreak)
     ues = with_gaps(duplicates(ues, [*key, ue, ts]), key, ts, ue)
     has = lambda df, names: [m for m in names if m in df.columns]
-    numeric = lambda df: [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint") and c not in ("window_number", "gap", "energy_resid")]
+    numeric = lambda df: [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint") and c not in ("window_number", "gap", "energy_resid", tiebreak)]
     by_cell = cells.groupBy(*key).agg(
         *counts("cell", cell), F.count_if("duplicate").alias("cell_duplicate_rows"), *cadence("cell", ts, cadence_s), null_fraction("cell", numeric(cells)), *violations(telecom_violations()),
         *ratios("cell", "energy_per_thp_dl", "PEE.Energy_interval", "DRB.UEThpDl", ("mean", "q75"), 1e-9), F.avg(F.abs("energy_resid")).alias("cell_energy_resid_abs_mean"), F.percentile(F.abs("energy_resid"), 0.75).alias("cell_energy_resid_abs_q75"),
