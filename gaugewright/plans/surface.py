@@ -350,3 +350,28 @@ def fault_rules(spark, sf):
     out = faults.updates(c, kind, F.col("event_id") % 6 == 0, faults.cell_rules())
     return out.select("event_id", E.col(CELL).alias("name"), E.col("RRU.PrbUsedDl").alias("used"), r6(E.col("PEE.AvgPower")).alias("power"))
 
+
+
+# streams
+
+
+@query(f"""WITH w AS (SELECT epoch_us(ts) AS us, value, epoch_us(ts) - epoch_us(ts) % {HOUR}000000 - j * {HOUR}000000 AS s FROM events, unnest(generate_series(0, 5)) AS t(j))
+SELECT s AS window_start_us, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY s HAVING s + {6 * HOUR}000000 <= (SELECT max(us) FROM w)""")
+def stream_windows(spark, sf):
+    """A stream in append mode: each window comes out once, when a later row has passed its end; those still open don't."""
+    from gaugewright.streaming import stream
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    ev = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"stream_windows_{Path(writers.scratch(spark, 'x')).name.rpartition('-')[2]}"
+    out = stream.window_aggregate(ev, "ts", [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], size="6 hours", step="1 hour")
+    stream.to_tables(name, out, writers.scratch(spark, "stream")).awaitTermination()
+    return spark.table(name).select(us("window_start").alias("window_start_us"), "n", r6("total", 4).alias("total"))
+
+
+@query(f"""SELECT event_id, epoch_us(ts) AS ts_us FROM events WHERE event_id % 3 = 0 AND epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM events) - {DAY}000000""")
+def recent_rows(spark, sf):
+    """Rows that are no older than a day before the newest: what a buffer keeps by event time."""
+    from gaugewright.streaming import stream
+
+    return stream.retained(events(spark, sf), "ts", DAY).where("event_id % 3 = 0").select("event_id", us("ts").alias("ts_us"))

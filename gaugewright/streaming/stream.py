@@ -23,6 +23,12 @@ def window_aggregate(df: DataFrame, ingest: str, measures: Sequence[Column], key
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])
 
 
+def retained(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Rows no older than so many seconds before the newest."""
+    newest = df.agg(F.max(col(ts)).alias("_newest"))
+    return df.crossJoin(F.broadcast(newest)).where(F.unix_micros(col(ts)) >= F.unix_micros("_newest") - F.lit(seconds * 1_000_000)).drop("_newest")  # a single row
+
+
 def distinct_count(c: Column) -> Column:
     """Exact distinct values; unlike countDistinct it can run in a stream."""
     return F.size(F.collect_set(c))
@@ -44,15 +50,6 @@ def score_messages(scored: DataFrame, score: str = "dq_score", extra: Sequence[s
     )
 
 
-def start_scoring(features: DataFrame, predictor, publish, checkpoint: str, trigger: str = "1 second"):
-    """Predict each micro-batch of feature rows and hand the messages to publish(DataFrame, batch_id)."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        publish(score_messages(predictor.predict(batch, "dq_score")), batch_id)
-
-    return features.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
-
-
 def latency(scored: DataFrame, last_ingest: str = "last_ingest_ms") -> DataFrame:
     """Milliseconds from the last ingested row of a window to its publication."""
     return scored.withColumn("latency_ms", F.col("publish_ts_ms") - F.col(last_ingest))
