@@ -1,20 +1,21 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 Everything is DataFrame functions. Words are runs of ASCII letters and digits in lower case; a shingle
-is SHINGLE consecutive words, a hash of them. The shingles of a text lie in blocks of BLOCK; a block's
-sketch has one MinHash for each of BANDS bands, and the sketch of two blocks together is the least of
-both. So the sketches of blocks of twice the size, and of windows of two blocks, are made of smaller
-ones. A template belongs to the smallest block size that is no less than its shingles: any passage of
-that many shingles lies whole in some window of two such blocks. Each band of a window's sketch that
-equals a template's retrieves it.
+is SHINGLE consecutive words, a hash of them. A template belongs to the smallest block size (BLOCK shingles,
+doubled) that is no less than its shingles; a text's windows of that size are two such blocks, one block
+apart, so any passage of a template's length lies whole in some window. A window is sketched by the
+MinHash of all its shingles in each of BANDS bands. Each band that equals a template's retrieves it.
+
+Not every window has to be sketched: if a band's MinHash is a template's, then the shingle that has it is in
+the window. Windows that hold no such shingle of any template share no band, and are left out before.
 
 How likely: a template of n shingles, of which a share c = CONTAINMENT is in a window of 2 s shingles
 (s / 2 < n <= s), has a similarity of c n / (2 s + (1 - c) n) or more, which is 0.19 at least; it shares a
 band with probability 1 - (1 - 0.19)^48 = 0.99996 then, and more than that for n near s or c near 1. Candidates are
 verified: the share of the template's distinct shingles that the window has must reach CONTAINMENT.
 
-Templates are a parameter, of any number and length. Their bands are broadcast up to BROADCAST rows, and
-joined by a shuffle beyond that. Null and empty texts match nothing; a document with a template
+Templates are a parameter, of any number and length. Their bands are broadcast in blocks of at most BROADCAST
+rows; more blocks pass over the documents one after another. Null and empty texts match nothing; a document with a template
 in several places has one row for it, with the best containment and the earliest place of one of its
 shingles in a matching window; rows that repeat a doc_id count as one document; templates of fewer than
 SHINGLE words can't match; a text that holds a template within another is reported for both; an
@@ -33,7 +34,7 @@ from gaugewright.llm.common import two_columns
 SHINGLE, BANDS, CONTAINMENT = 3, 48, 0.8
 #: Shingles of the smallest blocks; larger ones double.
 BLOCK = 4
-#: Bands of templates that are broadcast at most.
+#: Bands of templates that are broadcast together at most.
 BROADCAST = 2_000_000
 
 #: Notices that authors are asked to place in their works, and whole short licences.
@@ -71,66 +72,54 @@ def level_of(words: list[str], shingle: int = SHINGLE) -> int:
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
-    """The hash of each run of `size` words, by position."""
-    places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-
-
-def sketch(hashes: Column, bands: int) -> Column:
-    """The MinHash of each band."""
-    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
-
-
-def both(one: Column, other: Column) -> Column:
-    """The sketch of two blocks; the other may not be there."""
-    return F.zip_with(one, F.coalesce(other, one), lambda a, b: F.least(a, b))
-
+    """The hash of each run of `size` words, by position. The words are bound once: wherever the plan puts this, they are made once a row."""
 
-def counted(of: Column, make) -> Column:
-    """make(i) for i below the number `of`."""
-    return F.transform(F.when(of > 0, F.sequence(F.lit(0), of - 1)).otherwise(F.array().cast("array<int>")), make)
+    def runs(w: Column) -> Column:
+        places = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
 
+    return F.get(F.transform(F.array(words), runs), 0)
 
-def joined(one: Column, other: Column) -> Column:
-    """The shingles of two blocks; the other may not be there."""
-    return F.concat(one, F.coalesce(other, F.array().cast("array<bigint>")))
 
-
-def doubled(below: str, put) -> Column:
-    """What blocks of twice the size have, of what blocks have, by put()."""
-    return counted(F.ceil(F.size(below) / 2).cast("int"), lambda i: put(F.get(below, 2 * i), F.get(below, 2 * i + 1)))
+def sketch(hashes: Column, bands: int) -> Column:
+    """The MinHash of each band, and the shingle that has it."""
+    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, b).alias("low"), h.alias("h")))))
 
 
-def windows_of(level: int) -> Column:
-    """The windows of two blocks each, with their shingles: a slice of the whole text would cost its length each time."""
-    b, s = f"b{level}", f"s{level}"
-    return counted(F.size(b), lambda i: F.struct(F.lit(level).alias("level"), i.alias("at"), both(F.get(s, i), F.get(s, i + 1)).alias("lows"), joined(F.get(b, i), F.get(b, i + 1)).alias("have")))
+def window(hashes: Column, start: Column, size: Column) -> Column:
+    """Shingles from start on; by places, since a slice would cost the length of the whole text."""
+    return F.transform(F.sequence(start, F.least(start + size, F.size(hashes)) - 1), lambda i: F.get(hashes, i))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each document and template in it: doc_id, license, containment (best), first_word (earliest place of one of its shingles where it matches)."""
     given = [(name, w, level_of(w, shingle)) for name, t in templates.items() if len(w := words_of(t)) >= shingle]
-    known = docs.sparkSession.createDataFrame(given, "license string, words array<string>, level int")
-    known = known.select("license", "level", F.array_distinct(shingle_hashes(F.col("words"), shingle)).alias("wanted"))
-    keys = known.select("license", F.col("level").alias("of"), "wanted", F.explode(sketch(F.col("wanted"), bands)).alias("low"))
-    if len(given) * bands <= BROADCAST:
-        keys = F.broadcast(keys)
     # ascii lower case before anything else: other letters are never part of a word
     plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    rows = two_columns(docs, id_col, text_col).select("doc_id", F.split(plain, " ").alias("words")).select("doc_id", shingle_hashes(F.col("words"), shingle).alias("h"))
-    # no filter here: it would go below the projections, and the words would be made anew for every shingle
-    blocks = counted(F.ceil(F.size("h") / BLOCK).cast("int"), lambda i: F.array_compact(F.array(*[F.get("h", i * BLOCK + k) for k in range(BLOCK)])))
-    rows = rows.select("doc_id", blocks.alias("b0"))
-    rows, used = rows.withColumn("s0", F.transform("b0", lambda b: sketch(b, bands))), sorted({g[2] for g in given})
-    for k in range(1, max(used, default=0) + 1):
-        rows = rows.withColumns({f"b{k}": doubled(f"b{k - 1}", joined), f"s{k}": doubled(f"s{k - 1}", both)})
-    empty = F.array().cast("array<struct<level:int,at:int,lows:array<bigint>,have:array<bigint>>>")
-    windows = rows.select("doc_id", F.explode(F.concat(*[windows_of(k) for k in used]) if used else empty).alias("w"))
-    banded = windows.select("doc_id", "w.level", "w.at", "w.have", F.explode("w.lows").alias("low"))
-    # a MinHash of one band is equal to none of another but by chance
-    found = banded.join(keys, "low").where(F.col("level") == F.col("of"))
+    rows = two_columns(docs, id_col, text_col).select("doc_id", F.split(plain, " ").alias("words")).select("doc_id", shingle_hashes(F.col("words"), shingle).alias("shingles"))
+    step, found = max(1, BROADCAST // bands), None
+    for at in range(0, max(1, len(given)), step):
+        some = retrieved(rows, given[at : at + step], shingle, bands, containment)
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("first_word"))
+
+
+def retrieved(rows: DataFrame, given: list[tuple[str, list[str], int]], shingle: int, bands: int, containment: float) -> DataFrame:
+    """doc_id, license, containment and first of the windows that hold a template of one block."""
+    known = rows.sparkSession.createDataFrame(given, "license string, words array<string>, level int")
+    known = known.select("license", "level", F.array_distinct(shingle_hashes(F.col("words"), shingle)).alias("wanted"))
+    keys = known.select("license", F.col("level").alias("of"), "wanted", F.posexplode(sketch(F.col("wanted"), bands)).alias("band", "key"))
+    marks = keys.select(F.col("key.h").alias("h"), F.col("of").alias("level")).distinct()  # the shingles that have a band of a template
     size = (BLOCK * F.pow(F.lit(2.0), "level")).cast("int")
-    found = found.select("doc_id", "license", "wanted", (F.col("at") * size).alias("start"), "have")
+    # outer: no filter is inferred that would make the shingles a second time
+    hits = rows.select("doc_id", "shingles", F.posexplode_outer("shingles").alias("place", "h")).join(F.broadcast(marks), "h")
+    hits = hits.select("doc_id", "shingles", "level", F.explode(F.array(F.floor(F.col("place") / size) - 1, F.floor(F.col("place") / size))).alias("at")).where("at >= 0")
+    start = (F.col("at") * size).cast("int")
+    windows = hits.select("doc_id", "level", start.alias("start"), window(F.col("shingles"), start, 2 * size).alias("have")).distinct()
+    banded = windows.select("*", F.posexplode(sketch(F.array_distinct("have"), bands)).alias("band", "key"))
+    same = (F.col("band") == F.col("kband")) & (F.col("low") == F.col("klow")) & (F.col("level") == F.col("of"))
+    banded = banded.select("doc_id", "level", "start", "have", "band", F.col("key.low").alias("low"))
+    found = banded.join(F.broadcast(keys.select("license", "of", "wanted", F.col("band").alias("kband"), F.col("key.low").alias("klow"))), same)
     found = found.withColumn("containment", F.size(F.array_intersect("have", "wanted")) / F.size("wanted")).where(F.col("containment") >= containment)
     first = F.col("start") + F.array_min(F.transform("wanted", lambda x: F.nullif(F.array_position("have", x), F.lit(0)))) - 1
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min(first).cast("long").alias("first_word"))
+    return found.select("doc_id", "license", "containment", first.alias("first"))

@@ -46,14 +46,14 @@ def test_repeats_empty_limits(documents):
 
 
 def test_many_and_long_templates(documents, monkeypatch):
-    """Thousands of words in a template, hundreds of templates, a text of many windows; with and without a broadcast."""
+    """Thousands of words in a template, hundreds of templates, a text of many windows; in one block and in several."""
     random.seed(9)
     long = {f"long{k}": " ".join(random.choices([f"v{i}" for i in range(3000)], k=n)) for k, n in enumerate((300, 700, 3000))}
     many = {f"t{i}": " ".join(random.choices([f"u{k}" for k in range(400)], k=12)) for i in range(600)}
     cut = long["long2"].split()
     texts = [long["long0"], "x " * 777 + long["long1"] + " y" * 500, " ".join(cut[:2900] + ["z"] * 5), " ".join(cut[:2000]), "q " * 3000 + many["t7"] + " r", many["t599"]]
     want = {i: b for i, t in enumerate(texts) if (b := brute(t, long | many))}
-    for most in (L.BROADCAST, 0):
+    for most in (L.BROADCAST, 300 * L.BANDS):
         monkeypatch.setattr(L, "BROADCAST", most)
         got = {}
         for r in L.scan(documents(texts), long | many).collect():
