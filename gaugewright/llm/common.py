@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -71,6 +71,21 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _written[:] = held
 
 
+def matched(rows: DataFrame, table: DataFrame, key: str, by: Sequence[str], heavy: int = 1024) -> DataFrame:
+    """rows with the column `of` of table (key, n, of), where n says how many rows have the key; rows whose key isn't there go.
+
+    Keys with more than 1/heavy of all rows are fewer than `heavy`, so they are broadcast; their rows
+    are spread (by these columns) over all tasks of the join, in which every other key has a small share.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") * heavy > F.lit(total)
+    some = rows.join(F.broadcast(table.where(frequent).select(key, F.col("of").alias("_of"))), key, "left")
+    spread = F.pmod(F.xxhash64(*by), F.lit(1 << 20)).cast("int") + 1
+    some = some.withColumn("_salt", F.when(F.col("_of").isNotNull(), spread).otherwise(0))
+    out = some.join(table.where(~frequent).select(key, F.lit(0).alias("_salt"), "of"), [key, "_salt"], "left")
+    return out.withColumn("of", F.coalesce("_of", "of")).where("of is not null").drop("_salt", "_of")
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver find out now which shuffles nothing refers to any more, so that executors delete their files.
 

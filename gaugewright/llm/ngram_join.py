@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import column, cut, drop_cut, map_batches, release, two_columns
+from gaugewright.llm.common import column, cut, drop_cut, map_batches, matched, release, two_columns
 from gaugewright.llm.components import components
 from gaugewright.llm.words import Runs, hashed
 
@@ -371,8 +371,9 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, per
     roots = components(links)
     low = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     rooted = low.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "low", F.coalesce("root", "class").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(rooted.join(ids, "root").select(F.col("class").alias("of"), "component_id"), "classes")
+    ids = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.struct(F.min("low").alias("component_id")).alias("of")), "roots")
+    named = cut(matched(rooted, ids, "root", ("class",)).select(F.col("class").alias("of"), "of.component_id"), "classes")
+    written.append(ids)
     for table in written:
         drop_cut(table)
     release(docs.sparkSession)

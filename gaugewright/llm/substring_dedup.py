@@ -30,12 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import cut, drop_cut, map_batches, two_columns
+from gaugewright.llm.common import cut, drop_cut, map_batches, matched, two_columns
 from gaugewright.llm.words import Runs, hashed, mix, split
 
 WINDOW, SEED = 20, 8
 #: A seed with more than 1/HEAVY of all occurrences of repeated seeds is split; there are at most that many.
-HEAVY, SPREAD = 1024, 1 << 20
+HEAVY = 1024
 
 
 class Anchors:
@@ -118,21 +118,6 @@ def cover(n: int, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def matched(anchors: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The anchors whose seed is in seeds (seed, n, of), with `of`.
-
-    Seeds with a large share of all occurrences are at most HEAVY, so they are broadcast; their anchors
-    are spread over all tasks of the join, in which every other seed has a small share.
-    """
-    total = seeds.agg(F.sum("n")).first()[0] or 0
-    heavy = F.col("n") * HEAVY > F.lit(total)
-    some = anchors.join(F.broadcast(seeds.where(heavy).select("seed", F.col("of").alias("heavy"))), "seed", "left")
-    spread = F.pmod(F.xxhash64("doc_id", "hash", "at"), F.lit(SPREAD)).cast("int") + 1
-    some = some.withColumn("salt", F.when(F.col("heavy").isNotNull(), spread).otherwise(0))
-    out = some.join(seeds.where(~heavy).select("seed", F.lit(0).alias("salt"), "of"), ["seed", "salt"], "left")
-    return out.withColumn("of", F.coalesce("heavy", "of")).where("of is not null").drop("salt", "heavy")
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """A row for each document: doc_id, n_words, removed (maximal repeats as word ranges, ends included), kept (what stays, words joined by one space)."""
     rows = two_columns(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
@@ -142,7 +127,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         F.min(F.struct("doc_id", "hash", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("extension").alias("low"), F.max("extension").alias("high")
     ).where("n > 1")
     seeds = cut(grouped.select("seed", "n", F.struct("first", (F.col("low") != F.col("high")).alias("mixed")).alias("of")), "seeds")
-    found = matched(find_anchors(rows, window, seed, False), seeds).select("doc_id", "hash", "at", "of.first", "of.mixed")
+    found = matched(find_anchors(rows, window, seed, False), seeds, "seed", ("doc_id", "hash", "at"), HEAVY).select("doc_id", "hash", "at", "of.first", "of.mixed")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("at") == F.col("first.at"))
     # sets: rows that repeat an id and its text give the same places
     marks = cut(
