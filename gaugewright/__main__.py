@@ -4,7 +4,7 @@
     inject CELLS.csv OUT [--share --seed]          cell reports with faults, and the manifest
     learn CELLS.csv UES.csv FOLDER                 baselines as a versioned artifact
     label CELLS.csv UES.csv FOLDER OUT [--size]    labelled feature rows
-    train LABELLED OUT                             a model with its metrics
+    train LABELLED FOLDER                          a model of a new version with its metrics; `latest` points there
     predict MODEL FEATURES OUT                     predictions
 """
 
@@ -30,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--overlap", type=float, default=0.8)
         p.add_argument("--share", type=float, default=0.15, help="windows with faults")
         p.add_argument("--seed", type=int, default=0)
+        p.add_argument("--bands", default="", help="JSON or YAML of bands: bandwidth_mhz, prb_count or khz, cap")
+        p.add_argument("--trials", type=int, default=50, help="models to try at most")
+        p.add_argument("--version", default="v1")
     return top
 
 
@@ -51,14 +54,13 @@ def main(args: list[str] | None = None) -> None:
         writers.csv(faulty, f"{a.out}/cells")
         writers.csv(manifest, f"{a.out}/manifest")
     elif a.command == "learn":
-        print(phases.learn_baseline(cells(), ues(), a.folder))
+        print(phases.learn_baseline(cells(), ues(), a.folder, readers.config(a.bands) if a.bands else None))
     elif a.command == "label":
         print(writers.new_version(phases.label_windows(cells(), ues(), readers.baseline(a.folder), a.size, step), a.out))
     elif a.command == "train":
         names = [c for c in features.feature_columns() if not c.startswith("meta_") and c not in ("label", "window_id")]
-        model = train.fit(readers.labelled(spark, a.labelled), names, order=("meta_end_time", "meta_start_time"))
-        model.save(a.out)
-        print(model.meta)
+        model = train.fit(readers.labelled(spark, a.labelled), names, order=("meta_end_time", "meta_start_time"), trials=a.trials, tiebreak="window_id")
+        print(model.publish(a.out, a.version, a.size), model.meta)
     else:
         writers.parquet(train.Predictor.load(a.model).predict(spark.read.parquet(a.features)), a.out)
 
