@@ -64,6 +64,10 @@ def violations(rules: dict[str, Column]) -> list[Column]:
     return [F.count_if(c).alias(f"viol_{name}") for name, c in rules.items()]
 
 
+#: The names of telecom_violations(), known without a session.
+VIOLATIONS = ("prb_used_gt_avail_dl", "prb_used_gt_avail_ul", "conn_mean_gt_max_cnt", "thp_pos_prb_zero_dl", "thp_pos_prb_zero_ul")
+
+
 def telecom_violations() -> dict[str, Column]:
     n = lambda c: number(col(c))
     out = {f"prb_used_gt_avail_{s.lower()}": n(f"RRU.PrbUsed{s}") > n(f"RRU.PrbAvail{s}") for s in ("Dl", "Ul")}
@@ -90,7 +94,7 @@ def feature_columns() -> list[str]:
     out += [f"{p}_{x}" for p in both for x in ("dt_min", "dt_median", "dt_max", "offgrid_count", "missing_intervals", "coverage_ratio")]
     out += [f"t2_{x}_slots" for x in ("expected", "aligned", "missing")] + [f"{p}_null_frac" for p in both]
     out += [f"ue_thp_per_prb_{s}_{x}" for s in ("dl", "ul") for x in ("mean", "q25", "q75")] + ["cell_energy_per_thp_dl_mean", "cell_energy_per_thp_dl_q75"]
-    out += [f"viol_{v}" for v in telecom_violations()] + ["cell_energy_resid_abs_mean", "cell_energy_resid_abs_q75"]
+    out += [f"viol_{v}" for v in VIOLATIONS] + ["cell_energy_resid_abs_mean", "cell_energy_resid_abs_q75"]
     out += [f"recon_{m}_{s}_median" for m in ("thp", "prb") for s in ("dl", "ul")]
     return out + [f"cell_{m}_{x}" for m in CELL_METRICS for x in stats] + [f"ue_{m}_{x}" for m in UE_METRICS for x in stats] + ["label", "window_id"]
 
