@@ -44,10 +44,10 @@ def decode(df: DataFrame, value: str = "value", strict: bool = True) -> DataFram
 
 
 def read(df: DataFrame, value: str = "value", strict: bool = True) -> DataFrame:
-    """df with message and event_ts. As a generator, so that no filter on them goes below it and reads the payload again."""
+    """df with message and event_ts. As an outer generator, so that no filter, given or inferred, goes below it and reads the payload again."""
     parsed = F.transform(F.array(payload(F.col(value), strict)), lambda v: F.try_variant_get(v, "$", MESSAGE))
     at = lambda m: F.timestamp_millis(F.try_variant_get(m["metadata"]["event_ts_ms"], "$", "bigint"))
-    return df.select("*", F.inline(F.transform(parsed, lambda m: F.struct(m.alias("message"), at(m).alias("event_ts")))))
+    return df.select("*", F.inline_outer(F.transform(parsed, lambda m: F.struct(m.alias("message"), at(m).alias("event_ts")))))
 
 
 def dead_letters(df: DataFrame, value: str = "value", strict: bool = True) -> DataFrame:
