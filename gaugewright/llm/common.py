@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -95,6 +96,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hand_back() -> None:
+    """Memory that this worker has freed goes back to the system, where its allocator can do that: Spark keeps idle workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def two_columns(docs: DataFrame, id_col: str = DOC_ID, text_col: str = TEXT) -> DataFrame:
     """Only id and text, under fixed names: other columns, whatever their names, play no part."""
     return docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))

@@ -8,8 +8,12 @@ its tokens, and a piece that fits nowhere whole is cut over the sequences that h
 first. So each block leaves less than one sequence of padding.
 
 A block is at most BLOCK_PIECES rests of one input partition: tasks share nothing, nothing is
-shuffled, memory is bounded, and a lost task makes the same rows again. sequence_id holds the
-partition above and a counter below 33 bits.
+shuffled, and a lost task makes the same rows again. sequence_id holds the partition above and a
+counter below 33 bits.
+
+A worker holds one block, SLICE_BYTES of text (one text at least) and the ids of CACHED_WORDS runs or
+CACHED_CHARS characters besides; rows leave in batches of OUT_PIECES, and what a task held goes back to
+the system at its end, since Spark keeps idle workers. None of these sizes has a part in the result.
 
 Defined results: null text counts as empty (its only id is the end id); a null or repeated doc_id is
 carried as it is, each row being a document of its own; ties in length are taken in input order; an
@@ -27,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gaugewright.llm.common import arrow_schema, two_columns
+from gaugewright.llm.common import arrow_schema, hand_back, two_columns
 
 SEQUENCE, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_PIECES = 8192
-CACHED_WORDS = 700_000
+SLICE_BYTES, CACHED_WORDS, CACHED_CHARS, OUT_PIECES = 1 << 20, 100_000, 2_000_000, 1024
 
 #: Marks that may follow a word in a run; the tokenizer always parts them from letters.
 TAIL = ".,;:!?|"
@@ -78,6 +82,7 @@ class Encoder:
     def forget(self) -> None:
         self.parts: dict[str, int] = {"": 0}  # word or tail or other run -> its place in start and count
         self.runs: dict[str, int] = {"": 0}  # run -> its place in pairs: the parts that make it
+        self.chars = 0  # of all runs
         self.ids, self.start, self.count, self.pairs = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, 2), np.int64)
 
     def add(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
@@ -123,10 +128,11 @@ class Encoder:
         if others:
             self.add_others(list(others))
         self.runs.update(zip(runs, range(len(self.pairs), len(self.pairs) + len(runs)), strict=True))
+        self.chars += sum(map(len, runs))
         self.pairs = np.concatenate([self.pairs, np.array([(parts[w], parts[t]) for w, t in split], np.int64)])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.runs) > CACHED_WORDS:
+        if len(self.runs) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.forget()
         texts = pc.fill_null(texts, "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found in texts as they are
@@ -153,7 +159,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
     at = 0
@@ -201,34 +207,46 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         encode, first = encoder(path), TaskContext.get().partitionId() << 33
         rests: list[tuple] = []  # doc_id, start, ids, doc_tokens
 
-        def packed() -> list[tuple]:
+        def packed() -> Iterator[pa.RecordBatch]:
             nonlocal first
-            done, filled = [], {}
-            for piece, start, length, s in assign([len(r[2]) for r in rests], size, linear, quadratic):
-                doc, begin, ids, total = rests[piece]
-                done.append((doc, begin + start, length, ids[start : start + length].tobytes(), total, first + s, filled.get(s, 0)))
-                filled[s] = filled.get(s, 0) + length
+            filled: dict[int, int] = {}
+            placed = assign([len(r[2]) for r in rests], size, linear, quadratic)
+            for at in range(0, len(placed), OUT_PIECES):
+                done = []
+                for piece, start, length, s in placed[at : at + OUT_PIECES]:
+                    doc, begin, ids, total = rests[piece]
+                    done.append((doc, begin + start, length, ids[start : start + length].tobytes(), total, first + s, filled.get(s, 0)))
+                    filled[s] = filled.get(s, 0) + length
+                yield columns(done)
             first += len(filled)
             rests.clear()
-            return done
 
         def columns(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], f.type) for i, f in enumerate(types)], schema=types)
 
-        for batch in stream:
-            for at, to in slices(batch.column(1)):
-                full: list[tuple] = []
-                for doc, ids in zip(batch.column(0)[at:to].to_pylist(), encode(batch.column(1)[at:to]), strict=True):
-                    ids = np.append(ids, end)
-                    total, start = len(ids), 0
-                    while total - start >= size:
-                        full.append((doc, start, size, ids[start : start + size].tobytes(), total, first, 0))
-                        start, first = start + size, first + 1
-                    if start < total:
-                        rests.append((doc, start, ids[start:].copy(), total))
-                        if len(rests) >= block:
-                            full += packed()
-                yield columns(full)
-        yield columns(packed())
+        try:
+            for batch in stream:
+                for at, to in slices(batch.column(1)):
+                    full: list[tuple] = []
+                    for doc, ids in zip(batch.column(0)[at:to].to_pylist(), encode(batch.column(1)[at:to]), strict=True):
+                        ids = np.append(ids, end)
+                        total, start = len(ids), 0
+                        while total - start >= size:
+                            full.append((doc, start, size, ids[start : start + size].tobytes(), total, first, 0))
+                            start, first = start + size, first + 1
+                            if len(full) >= OUT_PIECES:
+                                yield columns(full)
+                                full = []
+                        if start < total:
+                            rests.append((doc, start, ids[start:].copy(), total))
+                            if len(rests) >= block:
+                                yield from packed()
+                    yield columns(full)
+                batch = None
+            yield from packed()
+        finally:
+            rests.clear()
+            encode.forget()
+            hand_back()
 
     return rows.mapInArrow(run, schema)

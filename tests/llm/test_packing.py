@@ -59,3 +59,43 @@ def test_crc(spark, documents):
 
     r = packing.pack(documents(["one two"])).select("ids", F.crc32("ids").alias("crc")).first()
     assert r.crc == zlib.crc32(bytes(r.ids))
+
+
+def test_encoder_forgets_long_runs():
+    """What is remembered is bounded in characters, not only in runs."""
+    import pyarrow as pa
+
+    random = np.random.default_rng(0)
+    texts = pa.array(["".join(map(str, random.integers(0, 10, 8000))) for _ in range(600)])
+    encode = packing.Encoder(packing.vocabulary_path())
+    for at, to in packing.slices(texts):
+        encode(texts[at:to])
+    assert sum(map(len, encode.runs)) < 3_500_000  # of 4,800,000
+
+
+def test_idle_workers_hold_nothing(spark, documents):
+    packing.pack(documents([f"word{i} other{i}" for i in range(4000)])).count()
+
+    def held(stream):
+        import pyarrow as pa
+
+        for _ in stream:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(e.runs) for e in packing._encoders.values()], pa.int64())})
+
+    found = [r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()]
+    assert found and max(found) == 1
+
+
+def test_batches_are_small(documents, monkeypatch):
+    """Neither a block nor a long document leaves in one batch; every id leaves."""
+    import pyarrow as pa
+
+    docs = documents(["a"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": lambda: 0}))
+    texts = ["one two three four five"] * 5000 + ["word " * 40_000]
+    made = list(packing.pack(docs, size=16)(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": texts})])))
+    assert max(b.num_rows for b in made) <= 1024
+    assert sum(sum(b.column(2).to_pylist()) for b in made) == 5000 * 6 + 40_001
+    assert sorted({r for b in made for r in b.column(0).to_pylist()}) == list(range(len(texts)))
