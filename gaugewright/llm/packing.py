@@ -36,7 +36,7 @@ from gaugewright.llm.common import arrow_schema, hand_back, two_columns
 SEQUENCE, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_PIECES = 8192
-SLICE_BYTES, CACHED_WORDS, CACHED_CHARS, OUT_PIECES = 1 << 20, 100_000, 2_000_000, 1024
+SLICE_BYTES, CACHED_WORDS, CACHED_CHARS, OUT_PIECES = 2 << 20, 200_000, 2_500_000, 1024
 
 #: Marks that may follow a word in a run; the tokenizer always parts them from letters.
 TAIL = ".,;:!?|"
